@@ -31,8 +31,6 @@ from .common import WordHasher, buckets, column, slices, string_buffers, written
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of a worker's cache of encoded words.
-CACHE_WORDS = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -44,13 +42,32 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _rank_encoder(tokenizer):
+    """A faster encoder of ordinary text with the same ids, where the file's merges stand in the order of their ids; else None."""
+    import json
+
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level files
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+    vocab = model["vocab"]
+    merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])) or min(merged) < 256:
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if i <= merged[-1] and all(c in letters for c in t)}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE file.
 
     Its pattern never joins a space or line end to what stands before it. So
     in texts whose words are separated by one of these each, a word with the
-    separator before it can be encoded alone, and once for all its occurrences.
-    Other texts are encoded whole.
+    separator before it can be encoded alone, and once for all its occurrences
+    in a slice: the distinct words are encoded as one text, and its ids are
+    split by the bytes that they stand for. Other texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -60,8 +77,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranks = _rank_encoder(self.tokenizer)
+        if self.ranks is not None:
+            self.sizes = np.array([len(self.ranks.decode_single_token_bytes(i)) if i < self.ranks.n_vocab else 0 for i in range(self.ranks.n_vocab)], np.int64)
         self.hasher = WordHasher(lower=False)
-        self.cache: dict[int, bytes] = {}
         #: UTF-8 of white space beyond ASCII, separators of ASCII and special tokens.
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([rb"\xc2[\x85\xa0]", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", rb"\xe2\x81\x9f", rb"\xe3\x80\x80", rb"[\x1c-\x1f]", *(re.escape(s.encode()) for s in special)]))
@@ -69,11 +88,25 @@ class Encoder:
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
+    def _distinct(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words that each follow a separator, or begin their text (``first``)."""
+        sizes = hi - lo + 1
+        begin = np.cumsum(sizes) - sizes
+        place = np.repeat(lo - 1 - begin, sizes) + np.arange(sizes.sum())
+        joined = data[np.maximum(place, 0)]
+        joined[begin[first]] = 10  # a line end, whose id is dropped below
+        ids = np.asarray(self.ranks.encode_to_numpy(joined.tobytes().decode(), disallowed_special=()), np.uint32)
+        at = np.cumsum(self.sizes[ids]) - self.sizes[ids]
+        cut = np.searchsorted(at, begin)
+        counts = np.diff(np.append(cut, len(ids)))
+        counts[first] -= 1
+        return np.delete(ids, cut[first]), counts
+
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of an Arrow string column."""
         data, at = string_buffers(texts)
         hashes, offsets, starts, ends = self.hasher.words(texts)
-        n = len(at) - 1
+        n, some = len(at) - 1, np.diff(offsets) > 0
         owner = np.repeat(np.arange(n), np.diff(offsets))
         lo, hi = at[owner] + starts, at[owner] + ends
         first, before = starts == 0, np.zeros(len(lo), np.uint8)
@@ -81,36 +114,28 @@ class Encoder:
         # the separator before each word is one space or line end, and none is left at the text's end
         gap = np.empty(len(lo), np.int64)
         gap[1:] = lo[1:] - hi[:-1]
-        heads = offsets[:-1][np.diff(offsets) > 0]
+        heads = offsets[:-1][some]
         gap[heads] = starts[heads]
         fine = np.where(first, gap == 0, (gap == 1) & ((before == 32) | (before == 10)))
-        simple = np.bincount(owner[~fine], minlength=n) == 0
+        simple = (np.bincount(owner[~fine], minlength=n) == 0) & (self.ranks is not None)
         tails = np.zeros(n, np.int64)
-        tails[np.diff(offsets) > 0] = ends[offsets[1:][np.diff(offsets) > 0] - 1]
+        tails[some] = ends[offsets[1:][some] - 1]
         simple &= tails == np.diff(at)
         raw = data.tobytes()
         for m in self.odd.finditer(raw):
             simple[np.searchsorted(at, m.start(), "right") - 1] = False
 
-        keys = hashes ^ (before.astype(np.uint64) << np.uint64(50))
         use = simple[owner]
-        unique, index, inverse = np.unique(keys[use], return_index=True, return_inverse=True)
-        lo, hi, first = lo[use][index], hi[use][index], first[use][index]
-        names, cache = unique.tolist(), self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = [i for i, k in enumerate(names) if k not in cache]
-        if missing:
-            words = [raw[a - (not f) : b].decode() for a, b, f in zip(lo[missing].tolist(), hi[missing].tolist(), first[missing].tolist(), strict=True)]
-            for i, e in zip(missing, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-                cache[names[i]] = np.array(e.ids, np.uint32).tobytes()
-        got = [cache[k] for k in names]
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        flat, begin = np.frombuffer(b"".join(got), np.uint32), np.cumsum(sizes) - sizes
-        counts = sizes[inverse]
-        shift = np.repeat(begin[inverse] - (np.cumsum(counts) - counts), counts)
-        ids = flat[shift + np.arange(len(shift))]
-        lengths = np.bincount(owner[use], weights=counts, minlength=n).astype(np.int64)
+        keys = (hashes ^ (before.astype(np.uint64) << np.uint64(50)))[use]
+        ids, lengths = np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        if len(keys):
+            _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            flat, sizes = self._distinct(data, lo[use][index], hi[use][index], first[use][index])
+            counts = sizes[inverse]
+            shift = np.repeat((np.cumsum(sizes) - sizes)[inverse] - (np.cumsum(counts) - counts), counts)
+            shift += np.arange(len(shift))
+            ids = flat[shift]
+            lengths = np.bincount(owner[use], weights=counts, minlength=n).astype(np.int64)
         if simple.all():
             return ids, np.concatenate(([0], np.cumsum(lengths)))
         parts, done = [], 0
