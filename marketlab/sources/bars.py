@@ -144,7 +144,7 @@ def arrays(panel_: DataFrame, *fields: str) -> DataFrame:
     """One row a time, with an array for each field, in the order of the universe."""
     rows = F.array_sort(F.collect_list(F.struct("sym_idx", *fields)))
     wide = panel_.groupBy("pos", "ts").agg(rows.alias("rows"))
-    return wide.select("pos", "ts", *[F.transform("rows", lambda r, f=f: r[f]).alias(f) for f in fields])
+    return wide.select("pos", "ts", *[F.col("rows").getField(f).alias(f) for f in fields])
 
 
 def sliced(bars: DataFrame, start: int, stop: int) -> DataFrame:
