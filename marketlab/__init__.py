@@ -1 +1 @@
-"""Part of marketlab."""
+"""Simulation and validation of systematic trading rules, and preparation of training corpora, on Spark."""
