@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, jaccard, kneser, outliers, packing, passages, resampling, secretscan, template
+from . import containment, jaccard, kneser, outliers, packing, passages, resampling, secretscan, surrogates, template
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(read(spark, sf_dir, "documents"))
 
