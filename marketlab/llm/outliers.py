@@ -98,6 +98,7 @@ def _groups(rows: DataFrame) -> DataFrame:
         F.col("s.lang").alias("k_lang"), F.col("s.source").alias("k_source"),
         F.xxhash64(own_lang, own_source, F.when(own_lang, F.col("s.lang")), F.lit("/"), F.when(own_source, F.col("s.source"))).alias("group"),
     )
+    known = written(known)  # as a table of known size, so that a small one is broadcast and no group of rows is brought together
     return rows.join(known, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))).drop("k_lang", "k_source")
 
 
@@ -136,7 +137,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> list[DataFrame]:
-    medians = rows.groupBy("group").agg(*[F.percentile_approx(name, 0.5, ACCURACY).alias(f"m_{i}") for i, name in enumerate(FEATURES)])
+    medians = written(rows.groupBy("group").agg(*[F.percentile_approx(name, 0.5, ACCURACY).alias(f"m_{i}") for i, name in enumerate(FEATURES)]))
     off = rows.join(medians, "group")
     spread = off.groupBy("group").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(FEATURES))],
@@ -149,7 +150,7 @@ def _starts(rows: DataFrame) -> list[DataFrame]:
 def _concentrated(rows: DataFrame, estimates: DataFrame, steps: int) -> DataFrame:
     for _ in range(steps):
         near = _distances(rows, estimates)
-        edge = near.groupBy("group").agg(F.percentile_approx("d2", COVERAGE, ACCURACY).alias("edge"))
+        edge = written(near.groupBy("group").agg(F.percentile_approx("d2", COVERAGE, ACCURACY).alias("edge")))
         estimates = written(_factored(_moments(near.join(edge, "group").filter("d2 <= edge"))))
     return estimates
 
@@ -160,7 +161,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     better = first.join(second.select("group", F.col("log_det").alias("other")), "group")
     chosen = better.filter("log_det <= other").drop("other").unionByName(second.join(better.filter("log_det > other").select("group"), "group", "left_semi"))
     best = _concentrated(rows, written(chosen), STEPS)
-    scale = _distances(rows, best).groupBy("group").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, ACCURACY) / MEDIAN).alias("scale"))
+    scale = written(_distances(rows, best).groupBy("group").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, ACCURACY) / MEDIAN).alias("scale")))
     return written(best.join(scale, "group"))
 
 
