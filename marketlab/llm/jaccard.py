@@ -3,20 +3,23 @@
 Two texts link if their sets of shingles have a Jaccard similarity of
 ``SIMILARITY`` or more. Texts with the same set are one node, so copies are
 joined once. For a node of n shingles, T is the least overlap that a link
-needs. In the order from rare to frequent shingles, the T - 1 longest of its
-inverted lists are skipped: a partner must occur in one of the short lists
-that are left, so only these are built. They are merged by sorting, and the
-long ones are probed for the candidates by binary search, which counts the
-overlap exactly (DivideSkip with L = T - 1). The order needs no exact
+needs. In the order from rare to frequent shingles, the L = T - K longest of
+its inverted lists are skipped: a partner must occur ``OCCURRENCES`` = K times
+in the short lists that are left, so only these are built. They are merged by
+sorting, and the long ones are probed for the candidates by binary search,
+which counts the overlap exactly (DivideSkip). The order needs no exact
 frequencies: shingles that are frequent within some part of the input are
 counted, and the most frequent ``MAX_HOT`` come last.
 
 A short list of more than ``SMALL_LIST`` nodes, as of a large group of near
-copies, isn't expanded into pairs. At first, its nodes are only held against
-the list's first node. What is linked then is one component; a second search
-takes from these lists the pairs of nodes in different components, which are
-all that can still join components. So no link that matters is lost, and pairs
-within a component are not looked at.
+copies, isn't expanded into pairs. At first, each node is verified against two
+of its candidates, the first and the one met most often, and then in rounds
+against a hub of its long lists, a node that is in most of them. What is linked
+then is one component; a last search takes all pairs of nodes in different
+components, also from the long lists, which are all that can still join
+components. So no link that matters is lost, and pairs within a component are
+not looked at. A pair is only verified if it met so often in the short lists
+that the long ones of either can make up for the rest.
 
 Inverted lists travel as packed arrays by ranges of the shingle's hash; the
 number of ranges follows the session's shuffle partitions. Sets are only made
@@ -43,9 +46,17 @@ from .graph import components
 #: Similarity in percent.
 PERCENT = 80
 SMALL_LIST = 8
+#: How often a partner must occur in the short lists (K); they are longer by K - 1.
+OCCURRENCES = 8
+#: Rounds in which nodes of long lists are held against hubs.
+HUBS = 3
+#: Nodes of each side that a task holds against each other.
+BLOCK = 500
 #: Shingles that can come last in the order, and the count from which a part of the input reports one.
 MAX_HOT, LOCAL_HOT = 200_000, 4
-FLUSH = 3_000_000
+FLUSH = 2_000_000
+#: Bytes of text in a worker's arrays, and rows of a batch that it is sent.
+SLICE, BATCH_ROWS = 2 << 20, "1000"
 #: Words of 64 bits of the bitmap of candidates.
 BITMAP = 1 << 18
 
@@ -63,14 +74,26 @@ def node_of(own: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def probe_length(n):
-    """Short lists of a node when partners may be smaller: n - T + 1 with T = ceil(t n)."""
-    return n - -(-n * PERCENT // 100) + 1
+def needed(n):
+    """T, the least overlap of a node of n shingles with any that it links with (array or number)."""
+    return -(-n * PERCENT // 100)
 
 
-def index_length(n):
-    """Short lists that suffice when the partner is as large or larger: T = ceil(2 t n / (1 + t))."""
-    return n - -(-n * 2 * PERCENT // (100 + PERCENT)) + 1
+def occurrences(n):
+    """K of a node: fewer for small sets, whose lists would else be nearly all."""
+    low, high = (np.maximum, np.minimum) if isinstance(n, np.ndarray) else (max, min)
+    return low(1, high(OCCURRENCES, needed(n) // 8))
+
+
+def short_lists(n):
+    """How many of a node's lists are built: n - T + K."""
+    return n - needed(n) + occurrences(n)
+
+
+def meetings(n_a, n_b):
+    """How often a pair that links meets in the short lists of both, at least."""
+    overlap = -(-PERCENT * (n_a + n_b) // (100 + PERCENT))
+    return np.maximum(np.minimum(occurrences(n_a), occurrences(n_b)), overlap - np.maximum(n_a - short_lists(n_a), n_b - short_lists(n_b)))
 
 
 def _sets(batch, hasher) -> Iterator[np.ndarray]:
@@ -98,7 +121,7 @@ def nodes(docs: DataFrame) -> DataFrame:
             none = pa.nulls(int(often.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(flat[at][often].view(np.int64)), pa.array(counts[often])], names)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             node, n = [], []
             for own in _sets(batch, hasher):
                 n.append(len(own))
@@ -139,7 +162,7 @@ def ordered(own: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, parts: int) -> DataFrame:
-    """The short inverted lists, packed by part: arrays of shingles, places and owners, and each owner's node and size."""
+    """The short inverted lists, packed by part: arrays of shingles and owners, and each owner's node and size."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
     def run(batches) -> Iterator:
@@ -151,7 +174,6 @@ def postings(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, parts: int) -
             lengths = np.array([len(k) for k in kept], np.int64)
             flat = np.concatenate(kept)
             owner = np.repeat(np.arange(len(kept), dtype=np.uint32), lengths)
-            place = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
             part = (flat >> np.uint64(33)) % np.uint64(parts)
             order = np.lexsort((flat, part))
             cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
@@ -160,16 +182,16 @@ def postings(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, parts: int) -
             for p in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[p] : cuts[p + 1]]
                 own, back = np.unique(owner[at], return_inverse=True)
-                rows.append((int(p), flat[at].tobytes(), place[at].tobytes(), back.astype(np.uint32).tobytes(), names[own].tobytes(), size[own].tobytes()))
-            kinds = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "shingles", "places", "owners", "nodes", "sizes"])
+                rows.append((int(p), flat[at].tobytes(), back.astype(np.uint32).tobytes(), names[own].tobytes(), size[own].tobytes()))
+            kinds = [pa.int32()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "shingles", "owners", "nodes", "sizes"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             for own in _sets(batch, hasher):
                 if len(own) and (node := node_of(own)) not in nodes_:
                     nodes_[node] = None
                     sizes.append(len(own))
-                    kept.append(ordered(own, *shared.value)[: probe_length(len(own))])
+                    kept.append(ordered(own, *shared.value)[: short_lists(len(own))])
                     total += len(kept[-1])
             if total > FLUSH // 3:
                 yield flush()
@@ -177,25 +199,34 @@ def postings(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, parts: int) -
         if kept:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, shingles binary, places binary, owners binary, nodes binary, sizes binary")
+    return docs.mapInArrow(run, "part int, shingles binary, owners binary, nodes binary, sizes binary")
 
 
 def merged(parts: DataFrame, n_parts: int) -> DataFrame:
-    """Merges the short lists: pairs (``a``, ``b``), and the rows of lists too long to be expanded (``list``, ``a``, ``n``, ``place``)."""
+    """Merges the short lists.
+
+    Rows are pairs (``a``, ``b``) with how often they met in lists that were
+    expanded (``met``) and how often they need to (``need``); and the rows of
+    the other lists (``list``, ``a``, ``n``).
+    """
+    names = ["a", "b", "met", "need", "list", "n"]
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        def table(*columns):
+            size = next(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names)
+
         blobs: dict[int, list] = {}
         for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("part", "shingles", "places", "owners", "nodes", "sizes")), strict=True):
+            for row in zip(*(column(batch, c).to_pylist() for c in ("part", "shingles", "owners", "nodes", "sizes")), strict=True):
                 blobs.setdefault(row[0], []).append(row[1:])
         for rows in blobs.values():
             shingle = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-            place = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows]).astype(np.int64)
-            owners = [np.frombuffer(r[2], np.uint32) for r in rows]
-            node = np.concatenate([np.frombuffer(r[3], np.int64)[o] for r, o in zip(rows, owners, strict=True)])
-            size = np.concatenate([np.frombuffer(r[4], np.uint32)[o] for r, o in zip(rows, owners, strict=True)]).astype(np.int64)
+            owners = [np.frombuffer(r[1], np.uint32) for r in rows]
+            node = np.concatenate([np.frombuffer(r[2], np.int64)[o] for r, o in zip(rows, owners, strict=True)])
+            size = np.concatenate([np.frombuffer(r[3], np.uint32)[o] for r, o in zip(rows, owners, strict=True)]).astype(np.int64)
             order = np.argsort(shingle, kind="stable")
             shingle = shingle[order]
             shared = np.zeros(len(order), bool)
@@ -203,49 +234,44 @@ def merged(parts: DataFrame, n_parts: int) -> DataFrame:
             shared[1:] |= same
             shared[:-1] |= same
             order, shingle = order[shared], shingle[shared]
-            node, size, place = node[order], size[order], place[order]
-            order = np.lexsort((node, size, shingle))
-            shingle, node, size, place = shingle[order], node[order], size[order], place[order]
+            node, size = node[order], size[order]
+            order = np.lexsort((node, shingle))
+            shingle, node, size = shingle[order], node[order], size[order]
             fresh = np.ones(len(order), bool)  # a node found in several blobs counts once
             fresh[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
-            shingle, node, size, place = shingle[fresh], node[fresh], size[fresh], place[fresh]
+            shingle, node, size = shingle[fresh], node[fresh], size[fresh]
             if not len(node):
                 continue
             heads = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             lengths = np.diff(np.append(heads, len(node)))
-            left, right = [], []
             rank = np.arange(len(node)) - np.repeat(heads, lengths)
             length = np.repeat(lengths, lengths)
+            left, right = [], []
             for gap in range(1, SMALL_LIST):
                 i = np.flatnonzero((rank + gap < length) & (length <= SMALL_LIST))
                 left.append(i)
                 right.append(i + gap)
-            first = np.concatenate(left)
-            second = np.concatenate(right)
-            good = may_link(size[first], place[first], size[second], place[second])
-            first, second = first[good], second[good]
             long = np.flatnonzero(length > SMALL_LIST)
-            centre = np.repeat([h + int(np.argmin(node[h : h + n])) for h, n in zip(heads[lengths > SMALL_LIST], lengths[lengths > SMALL_LIST], strict=True)], lengths[lengths > SMALL_LIST]).astype(np.int64)
-            star = (node[centre] != node[long]) & near_size(size[centre], size[long]) if len(long) else np.zeros(0, bool)
-            a, b = np.concatenate((node[first], node[centre[star]])), np.concatenate((node[second], node[long[star]]))
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            none, nulls = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(len(long), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], ["a", "b", "list", "n", "place"])
-            yield pa.RecordBatch.from_arrays([pa.array(node[long]), nulls, pa.array(shingle[long].view(np.int64)), pa.array(size[long]), pa.array(place[long])], ["a", "b", "list", "n", "place"])
+            first, second = np.concatenate(left), np.concatenate(right)
+            good = near_size(size[first], size[second])
+            first, second = first[good], second[good]
+            order = np.lexsort((node[second], node[first]))
+            first, second = first[order], second[order]
+            if len(first):
+                a, b = node[first], node[second]
+                at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                yield table(a[at], b[at], np.diff(np.append(at, len(a))), meetings(size[first], size[second])[at], None, None)
+            if len(long):
+                yield table(node[long], None, None, None, shingle[long].view(np.int64), size[long])
 
-    return parts.repartitionById(n_parts, "part").mapInArrow(run, "a long, b long, list long, n long, place long")
+    return parts.repartitionById(n_parts, "part").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def near_size(a, b):
-    return (np.minimum(a, b) * 100 >= PERCENT * np.maximum(a, b)) if isinstance(a, np.ndarray) else (F.least(a, b) * 100 >= PERCENT * F.greatest(a, b))
-
-
-def may_link(n_a, place_a, n_b, place_b):
-    """Whether a pair with n_a <= n_b that meets at these places can reach the similarity (arrays or columns)."""
-    least = np.minimum if isinstance(n_a, np.ndarray) else F.least
-    need = PERCENT * (n_a + n_b)
-    rest = least(n_a - place_a, n_b - place_b)
-    return near_size(n_a, n_b) & (rest * (100 + PERCENT) >= need) & (place_a * (100 + PERCENT) <= n_a * (100 - PERCENT))
+    """Whether sets of these sizes can reach the similarity (arrays or columns)."""
+    if isinstance(a, np.ndarray):
+        return np.minimum(a, b) * 100 >= PERCENT * np.maximum(a, b)
+    return F.least(a, b) * 100 >= PERCENT * F.greatest(a, b)
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -268,7 +294,7 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             bit = column(batch, "bit").to_numpy()
             batch = batch.filter(pa.array((bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            for part in slices([batch], "text"):
+            for part in slices([batch], "text", SLICE):
                 own = list(_sets(part, hasher))
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "shingles"])
 
@@ -292,42 +318,109 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 keep[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    x = known.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = known.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """From the long lists, the pairs of nodes in different components that may link."""
-    own = lists.select("list", F.col("a").alias("node"), "n", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = own.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("list")
-    own = written(own.join(mixed, "list", "left_semi"))
-    side = lambda s: own.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "label")])
-    before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    pairs = side("a").join(side("b"), "list").filter((F.col("label_a") != F.col("label_b")) & before & may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b")))
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    # each side alone, so that few pairs are broadcast to the sets, which then stay where they are
+    x = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    y = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def hub_pairs(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Each node of a long list with the hub that it meets most often, if that is in another component."""
+    degree = lists.groupBy("node").agg(F.count("*").alias("degree"))
+    own = _labelled(lists.join(degree, "node"), labels)
+    hub = own.groupBy("list").agg(F.max(F.struct("degree", F.xxhash64("node", F.lit(turn)).alias("salt"), "node", "n", "label")).alias("hub"))
+    met = own.join(hub, "list").filter((F.col("label") != F.col("hub.label")) & near_size(F.col("n"), F.col("hub.n"))).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("met"))
+    return met.groupBy("node").agg(F.max_by("hub", F.struct("met", "hub")).alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def groups(lists: DataFrame) -> DataFrame:
+    """(``group``, ``node``, ``n``, ``lists``, ``groups``): a node's long lists, grouped by their hub, and how many groups it is in."""
+    degree = lists.groupBy("node").agg(F.count("*").alias("degree"))
+    own = lists.join(degree, "node")
+    hub = own.groupBy("list").agg(F.max(F.struct("degree", "node")).alias("hub")).select("list", F.col("hub.node").alias("group"))
+    members = written(own.join(hub, "list").groupBy("group", "node").agg(F.first("n").alias("n"), F.collect_list("list").alias("lists")))
+    return written(members.join(members.groupBy("node").agg(F.count("*").alias("groups")), "node"))
+
+
+def long_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components that meet in the long lists often enough.
+
+    In a group, the nodes outside of its largest component are the queries, held
+    against all of its nodes in blocks; meetings are counted by a matrix product.
+    A pair's meetings are spread over the groups that both are in and the lists
+    that were expanded, so one of these has its share of what is needed.
+    """
+    own = _labelled(members, labels)
+    sizes = own.groupBy("group", "label").agg(F.count("*").alias("size"))
+    stats = sizes.groupBy("group").agg(F.sum("size").alias("total"), F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed = own.join(stats, "group").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    mixed = mixed.withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("asks", F.col("label") != F.col("largest"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["group", "node", "n", "lists", "groups", "label"]
+    left = mixed.filter("asks").select(*columns, F.lit(0).alias("side"), F.col("own_block").alias("left_block"), every.alias("right_block"))
+    right = mixed.select(*columns, F.lit(1).alias("side"), every.alias("left_block"), F.col("own_block").alias("right_block"))
+
+    def count(frame):
+        import pandas as pd
+
+        lists, places = np.unique(np.concatenate([np.asarray(x) for x in frame["lists"]]), return_inverse=True)
+        at = np.repeat(np.arange(len(frame)), [len(x) for x in frame["lists"]])
+        table = np.zeros((len(frame), len(lists)), np.float32)
+        table[at, places] = 1
+        ask = frame["side"].to_numpy() == 0
+        met = (table[ask] @ table[~ask].T).astype(np.int64)
+        i, j = np.nonzero(met)
+        x, y = frame[ask], frame[~ask]
+        pick = lambda part, name, k: part[name].to_numpy()[k]
+        n_x, n_y, a, b = pick(x, "n", i), pick(y, "n", j), pick(x, "node", i), pick(y, "node", j)
+        share = np.minimum(pick(x, "groups", i), pick(y, "groups", j)) + 1
+        good = (pick(x, "label", i) != pick(y, "label", j)) & near_size(n_x, n_y) & (met[i, j] * share >= meetings(n_x, n_y))
+        return pd.DataFrame({"a": np.minimum(a, b)[good], "b": np.maximum(a, b)[good]})
+
+    return left.unionByName(right).groupBy("group", "left_block", "right_block").applyInPandas(count, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): each row's ``doc_id``, ``key``, ``node`` and ``n``, and the ``label`` of each node that is linked."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
     found = written(nodes(docs))
     rows = found.filter("hot is null").select("doc_id", "key", "node", "n")
     parts = buckets(spark)
-    lists = written(merged(postings(docs.select("text"), *hot_shingles(found), parts), parts))
-    keys = written(rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return written(verified(pairs, written(sets(docs, written(keys.join(ends, "node", "left_semi"))))))
-
-    pairs = written(lists.filter("list is null").select("a", "b").distinct())
-    links = verify(pairs)
+    merged_ = written(merged(postings(docs.select("text"), *hot_shingles(found), parts), parts))
+    pairs = written(merged_.filter("list is null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")))
+    lists = merged_.filter("list is not null").select("list", F.col("a").alias("node"), "n")
+    likely = pairs.filter("met >= need")
+    best = likely.groupBy("b").agg(F.min("a").alias("first"), F.max_by("a", F.struct("met", "a")).alias("most"))
+    tried = written(best.select(F.explode(F.array("first", "most")).alias("a"), "b").distinct())
+    # whatever can still be asked for: partners that met often enough, and the nodes of long lists
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(lists.select("node")).distinct()
+    keys = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"))
+    known = written(sets(docs, written(keys.join(ends, "node", "left_semi"))))
+    links = written(verified(tried, known))
     labels = components(links)
-    more = written(cross_pairs(lists.filter("list is not null"), labels).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(links.unionByName(verify(more)))
+    for turn in range(HUBS):
+        more = written(hub_pairs(lists, labels, turn).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        tried, links = tried.unionByName(more), written(links.unionByName(verified(more, known)))
+        labels = components(links)
+    # what is left: pairs in different components that met often enough in some lists
+    members = groups(lists)
+    spread = members.select("node", "groups").distinct()
+    own = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    in_ = lambda name: spread.select(F.col("node").alias(name), F.col("groups").alias(f"{name}_groups"))
+    apart = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).join(in_("a"), "a", "left").join(in_("b"), "b", "left")
+    share = F.least(F.coalesce("a_groups", F.lit(0)), F.coalesce("b_groups", F.lit(0))) + 1
+    more = apart.filter(F.col("met") * share >= F.col("need")).select("a", "b").union(long_pairs(members, labels)).distinct()
+    rest = written(more.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        labels = components(links.unionByName(verified(rest, known)))
     return rows, labels
 
 
