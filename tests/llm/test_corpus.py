@@ -120,6 +120,40 @@ def test_passages(docs):
         assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) - 1e-9
 
 
+def _linked(rows, got):
+    """Texts with a partner of resemblance 0.8, by brute force, and those with a found pair."""
+    grams = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, words(t)) for d, t in rows)}
+    linked = {a for a in grams for b in grams if a != b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    return linked, {r.doc_id for r in got} | {r.other_doc_id for r in got}
+
+
+def test_passages_of_near_copies_without_a_common_first(spark):
+    rng, rows = random.Random(6), []
+    for g in range(12):
+        passage = [f"p{g}x{i}" for i in range(60)]
+        for k in range(30):
+            w = list(passage)
+            if k >= 3:
+                w[rng.randrange(10, 50)] = f"changed{g}y{k}"
+            rows.append((len(rows), " ".join(w)))
+    linked, found = _linked(rows, passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # a text is looked for at four minima and their sides: some are missed, but none for want of the right first text
+    assert len(linked) == len(rows) and len(linked - found) <= 0.03 * len(linked)
+
+
+def test_passages_around_a_frequent_line(spark):
+    line, rng, rows = [f"l{i}" for i in range(45)], random.Random(8), []
+    other = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    for g in range(30):
+        before, after = other(2), other(3)
+        rows += [(2 * g + k, " ".join(other(20) + before + line + after + other(20))) for k in range(2)]
+    rows += [(100 + k, " ".join(other(20) + line + other(20))) for k in range(40)]
+    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in got}
+    assert {(2 * g, 2 * g + 1) for g in range(30)} <= pairs
+    assert all(max(p) < 100 for p in pairs)
+
+
 def test_compact_windows_cover_each_subsequence_once():
     x = np.random.default_rng(0).permutation(40).astype(np.uint64)
     spans = passages.windows(x, 3)
