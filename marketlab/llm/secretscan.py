@@ -3,11 +3,14 @@
 Each text is the first entry of a worklist. An entry is scanned, and then
 unwrapped: URL and Unicode escapes give the entry's text with the escapes
 resolved, base64 runs give what they hold, deflated or gzipped bytes are
-inflated. New texts join the list until it is empty; a text met before is left
+inflated. A base64 run may mix the standard and the URL-safe alphabet, or be
+wrapped in lines; what doesn't decode as a whole is tried in its parts, which
+are lines of one width with those next to them, single lines, and stretches of
+one alphabet. New texts join the list until it is empty; a text met before is left
 out, so that encodings which lead back to themselves end. Every entry has, for
 each of its characters, the place in the original text that it came from; what
 is found in it is reported there. A base64 run's characters map to the four
-that hold them, an inflated text's to the whole run.
+that hold them, an inflated text's to all that the compressed data takes.
 
 Nulls: a null text is an empty one; a null ``doc_id`` is kept. Repeated rows
 are scanned each. An empty table gives no rows. Other columns are ignored by
@@ -42,7 +45,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8})+")
 _ONE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_LEAST_RUN = 16
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+#: Runs over single line breaks, and a line of them.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 
 #: Bytes up to which a compressed layer is inflated; a layer that is longer is counted as cut.
 MAX_LAYER = 256 << 20
@@ -90,7 +98,8 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _inflated(data: bytes, out: Findings, most: int) -> str | None:
+def _unpacked(data: bytes, out: Findings, most: int) -> tuple[str, int] | None:
+    """What compressed ``data`` holds, and how many of its bytes that takes."""
     if data[:2] == b"\x1f\x8b":
         mode = 31
     elif len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
@@ -101,11 +110,16 @@ def _inflated(data: bytes, out: Findings, most: int) -> str | None:
         engine = zlib.decompressobj(mode)
         plain = engine.decompress(data, most)
         out.cut += bool(engine.unconsumed_tail)
-        return plain.decode("utf-8", "replace") if engine.eof or engine.unconsumed_tail else None
+        return (plain.decode("utf-8", "replace"), len(data) - len(engine.unused_data)) if engine.eof or engine.unconsumed_tail else None
     except zlib.error:
         return None
 
 
+def _inflated(data: bytes, out: Findings, most: int) -> str | None:
+    found = _unpacked(data, out, most)
+    return found and found[0]
+
+
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """``layer`` with each match of ``pattern`` replaced by decode(match): [(text, from, to)] relative to the match."""
     text, parts, starts, ends, at = layer.text, [], [], [], 0
@@ -169,26 +183,65 @@ def _escapes(run: str):
     return None if halves else made
 
 
+def _wrapped(text: str, start: int, end: int) -> Iterator[list[tuple[int, int]]]:
+    """Lines that may be one run, of a text's wrapped run: all, then those of one width with and without the ones next to them."""
+    lines = [m.span() for m in _LINE.finditer(text, start, end)]
+    yield lines
+    i, n = 0, len(lines)
+    width = lambda k: lines[k][1] - lines[k][0]
+    while i < n:
+        j = i + 1
+        while j < n and width(j) == width(i):
+            j += 1
+        for a, b in ((i - 1, j + 1), (i - 1, j), (i, j + 1), (i, j)):
+            if 0 <= a and b <= n and b - a > 1 and (a, b) != (0, n):
+                yield lines[a:b]
+        i = j
+
+
+def _candidates(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans that may be one base64 run together, wholes before their parts."""
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            if m.end() - m.start() >= _LEAST_RUN:
+                yield from _wrapped(text, *m.span())
+    for m in _RUN.finditer(text):
+        yield [m.span()]
+        if "-" in m[0] or "_" in m[0]:
+            for part in _PARTS:
+                for x in part.finditer(text, *m.span()):
+                    if x.span() != m.span():
+                        yield [x.span()]
+
+
 def _base64(layer: Layer, out: Findings, most: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
+    done = None
+    for spans in _candidates(layer.text):
+        start, end = spans[0][0], spans[-1][1]
+        if done is not None and done[start] and done[end - 1]:
+            continue
+        run = "".join(layer.text[a:b] for a, b in spans).rstrip("=").replace("-", "+").replace("_", "/")
+        if len(run) < _LEAST_RUN or len(run) % 4 == 1:
             continue
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        plain, exact = _readable(data), True
+        plain, used = _readable(data), None
         if plain is None:
-            plain, exact = _inflated(data, out, most), False
+            plain, used = _unpacked(data, out, most) or (None, None)
         if not plain:
             continue
-        if exact:
+        where = np.concatenate([np.arange(a, b) for a, b in spans])
+        if used is None:
             sizes = np.fromiter((len(c.encode()) for c in plain), np.int64, len(plain))
             last = np.cumsum(sizes)
-            s, e = m.start() + (last - sizes) * 4 // 3, m.start() + -(-last * 4 // 3)
+            s, e = where[(last - sizes) * 4 // 3], where[-(-last * 4 // 3) - 1] + 1
         else:
-            s, e = np.full(len(plain), m.start()), np.full(len(plain), m.end())
+            end = end if used == len(data) else int(where[-(-used * 4 // 3) - 1]) + 1
+            s, e = np.full(len(plain), start), np.full(len(plain), end)
+        done = bytearray(len(layer.text)) if done is None else done
+        done[start:end] = b"\1" * (end - start)
         if layer.starts is not None:
             s, e = layer.starts[s], layer.ends[e - 1]
         yield Layer(plain, s, e)

@@ -306,6 +306,27 @@ def test_secrets(text, want):
     assert all(0 <= a < b <= len(text) for a, b, _ in found.all) and set(found.base) <= set(found.all)
 
 
+def test_secrets_in_other_forms_of_base64():
+    rng = random.Random(9)
+    for k in range(60):
+        secret = f"password = {rng.getrandbits(160):040x}, not to be shown to {rng.random()}"
+        packed = zlib.compress(secret.encode()) if k % 2 else gzip.compress(secret.encode())
+        mime = base64.encodebytes(packed + rng.randbytes(40)).decode().rstrip("\n")
+        for run in (base64.urlsafe_b64encode(packed).decode(), base64.urlsafe_b64encode(secret.encode()).decode(), base64.encodebytes(packed).decode().rstrip("\n"), mime):
+            text = f"See below.\n\n{run}\nThe end of it"
+            found = secretscan.find(text)
+            at = text.index(run)
+            assert {s[2] for s in found.all} >= {"assign", "hex"}
+            assert all(at <= a < b <= at + len(run) for a, b, _ in found.all)
+    # a secret over two lines, with the places of its own characters, after a text on the first line
+    plain = "x" * 40 + " password = abcdefghijklmnop and more"
+    for prefix, breaks in (("", "\n"), ("data: ", "\r\n")):
+        run = base64.b64encode(plain.encode()).decode()
+        text = prefix + breaks.join(run[i : i + 76] for i in range(0, len(run), 76)) + breaks + "That was it"
+        # bytes 41 to 68 are held by the characters 54 to 91 of the run, the last ones after a line break
+        assert secretscan.find(text).all == [(len(prefix) + 54, len(prefix) + 91 + len(breaks), "assign")]
+
+
 def test_secret_tables(spark, empty):
     rows = [(1, SECRET), (2, None), (3, ""), (None, "%25%32%35" * 50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
