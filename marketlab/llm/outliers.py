@@ -12,10 +12,10 @@ are sums and quantile sketches per group, so a group may hold any share of the
 rows. A scatter never falls below ``FLOOR``, because some statistics are zero
 in nearly all texts.
 
-A squared distance counts in proportion n / (n + ``PRIOR_WORDS``) of the text's
-n words, since shares of few words vary more, and against ``CUTOFF``, the
-0.9999 quantile of chi-square with four degrees. Sources (then languages) of
-fewer than ``LEAST_ROWS`` texts are pooled.
+Statistics of few words vary more, so estimates are made by ``LENGTHS`` of texts
+too. Each squared distance is held against ``CUTOFF``, the 0.9999 quantile of
+chi-square with four degrees. In a length, sources (then languages, then the
+length itself) of fewer than ``LEAST_ROWS`` texts are pooled.
 
 Nulls: a null text has no words and fails; null ``lang`` and ``source`` are
 values of their own. Repeated rows count each. An empty table gives no rows.
@@ -36,7 +36,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 COVERAGE = 0.75
 STEPS = 2
 LEAST_ROWS = 50
-PRIOR_WORDS = 100
+#: Words from which texts are of the next length.
+LENGTHS = (50, 100, 200)
 #: Standard deviations that the scatter of each transformed statistic has at least.
 FLOOR = {"word_length": 0.06, "symbols": 0.06, "dup_lines": 0.12, "repeats": 0.08}
 FEATURES = list(FLOOR)
@@ -90,16 +91,20 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``g_lang`` and ``g_source``: what is too rare for estimates of its own is pooled."""
-    size = rows.groupBy("lang", "source").agg(F.count("*").alias("size"))
-    langs = size.groupBy("lang").agg(F.sum("size").alias("lang_size"))
-    own_lang, own_source = F.col("lang_size") >= LEAST_ROWS, F.col("size") >= LEAST_ROWS
-    known = size.alias("s").join(langs.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang"))).select(
-        F.col("s.lang").alias("k_lang"), F.col("s.source").alias("k_source"),
-        F.xxhash64(own_lang, own_source, F.when(own_lang, F.col("s.lang")), F.lit("/"), F.when(own_source, F.col("s.source"))).alias("group"),
+    """``rows`` with ``group``: language, source and length; what is too rare for estimates of its own is pooled."""
+    rows = rows.withColumn("length", sum((F.col("n_words") >= n).cast("int") for n in LENGTHS))
+    size = rows.groupBy("length", "lang", "source").agg(F.count("*").alias("size"))
+    langs = size.groupBy("length", "lang").agg(F.sum("size").alias("lang_size"))
+    lengths = size.groupBy("length").agg(F.sum("size").alias("length_size"))
+    own_length, own_lang, own_source = F.col("length_size") >= LEAST_ROWS, F.col("lang_size") >= LEAST_ROWS, F.col("size") >= LEAST_ROWS
+    same = (F.col("s.length") == F.col("l.length")) & F.col("s.lang").eqNullSafe(F.col("l.lang"))
+    known = size.alias("s").join(langs.alias("l"), same).join(lengths.alias("n"), F.col("s.length") == F.col("n.length")).select(
+        F.col("s.length").alias("k_length"), F.col("s.lang").alias("k_lang"), F.col("s.source").alias("k_source"),
+        F.xxhash64(own_length, own_lang, own_source, F.when(own_length, F.col("s.length")), F.when(own_lang, F.col("s.lang")), F.lit("/"), F.when(own_source, F.col("s.source"))).alias("group"),
     )
     known = written(known)  # as a table of known size, so that a small one is broadcast and no group of rows is brought together
-    return rows.join(known, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))).drop("k_lang", "k_source")
+    same = (F.col("length") == F.col("k_length")) & F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
+    return rows.join(known, same).drop("k_length", "k_lang", "k_source", "length")
 
 
 _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
@@ -172,8 +177,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = stats.withColumn("base_failed", failed)
     fine = _groups(rows.filter("not base_failed"))
     found = estimates(fine.select("group", *FEATURES))
-    weight = F.col("n_words") / (F.col("n_words") + PRIOR_WORDS)
-    near = _distances(fine, found).join(found.select("group", "scale"), "group").withColumn("distance", F.col("d2") / F.col("scale") * weight)
+    near = _distances(fine, found).join(found.select("group", "scale"), "group").withColumn("distance", F.col("d2") / F.col("scale"))
     names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = near.select(*names, "distance", (F.col("distance") <= CUTOFF).alias("kept"))
     return good.unionByName(rows.filter("base_failed").select(*names, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))

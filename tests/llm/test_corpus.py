@@ -205,6 +205,15 @@ def test_quality_rules_reject_an_outlier(spark):
     assert not kept.pop(999) and sum(kept.values()) >= 145
 
 
+def test_quality_rules_reject_short_outliers(spark):
+    rng = random.Random(4)
+    word = lambda: "w" * rng.randint(3, 7) + str(rng.random())[2:4]
+    rows = [(i, " ".join(word() for _ in range(12 if i % 2 else 300)), "en", "s", 1) for i in range(300)]
+    rows += [(900 + k, " ".join(f"{word()}|%" for _ in range(12)), "en", "s", 1) for k in range(5)]
+    kept = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(kept.pop(900 + k) for k in range(5)) and sum(kept.values()) >= 290
+
+
 def components(rows):
     sets = [(d, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()) for d, w in ((d, words(t)) for d, t in rows)]
     parent = list(range(len(sets)))
