@@ -9,8 +9,13 @@ Mahalanobis distances gives the next estimates. There are two deterministic
 starts, medians with median deviations and means with standard deviations; per
 group, the one that comes to the smaller determinant is carried on. All steps
 are sums and quantile sketches per group, so a group may hold any share of the
-rows. A scatter never falls below ``FLOOR``, because some statistics are zero
-in nearly all texts.
+rows. Symbols, repeated lines and repeated words are zero in most texts, where
+the estimated scatter is none at all: a direction's scatter is ``FLOOR`` at
+least, about what a few occurrences make in a short text. Only directions below
+it are set by it; nothing is added to the others, and the word length, which
+every text has, is left to the estimate (its floor only keeps from dividing by
+zero). The factor that makes distances consistent, larger or smaller than one,
+is taken from and applied to the directions that aren't floored.
 
 Statistics of few words vary more, so estimates are made by ``LENGTHS`` of texts
 too. Each squared distance is held against ``CUTOFF``, the 0.9999 quantile of
@@ -38,11 +43,11 @@ STEPS = 2
 LEAST_ROWS = 50
 #: Words from which texts are of the next length.
 LENGTHS = (50, 100, 200)
-#: Standard deviations that the scatter of each transformed statistic has at least.
-FLOOR = {"word_length": 0.06, "symbols": 0.06, "dup_lines": 0.12, "repeats": 0.08}
+#: Standard deviations that each transformed statistic has at least, given those before it.
+FLOOR = {"word_length": 0.001, "symbols": 0.06, "dup_lines": 0.12, "repeats": 0.08}
 FEATURES = list(FLOOR)
-#: Quantiles of chi-square with four degrees of freedom: 0.9999 and 0.5.
-CUTOFF, MEDIAN = 23.513, 3.3567
+#: The 0.9999 quantile of chi-square with four degrees of freedom, and the medians with one to four.
+CUTOFF, MEDIANS = 23.513, (0.45494, 1.38629, 2.36597, 3.35669)
 ACCURACY = 2000
 
 
@@ -111,33 +116,39 @@ _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
 def _factored(estimates: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l_i_j of the scatter c_i_j, and the logarithm of its determinant."""
+    """The Cholesky factor l_i_j of the scatter c_i_j, which directions are not floored (free_i), and the logarithm of the determinant."""
     out = estimates
     for i, j in _PAIRS:
         rest = F.col(f"c_{i}_{j}")
         for k in range(j):
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-        low = FLOOR[FEATURES[i]] ** 2 / 4
-        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(low))) if i == j else rest / F.col(f"l_{j}_{j}"))
+        if i == j:
+            low = FLOOR[FEATURES[i]] ** 2
+            out = out.withColumn("rest", rest).withColumns({f"free_{i}": F.col("rest") > low, f"l_{i}_{i}": F.sqrt(F.greatest("rest", F.lit(low)))})
+        else:
+            # a floored direction isn't taken out of later ones
+            out = out.withColumn(f"l_{i}_{j}", F.when(F.col(f"free_{j}"), rest / F.col(f"l_{j}_{j}")).otherwise(0.0))
     total = sum((F.log(f"l_{i}_{i}") for i in range(len(FEATURES))), F.lit(0.0))
-    return out.withColumn("log_det", 2 * total).select("group", "log_det", *[f"m_{i}" for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i, j in _PAIRS])
+    return out.withColumn("log_det", 2 * total).select("group", "log_det", *[f"{x}_{i}" for x in ("m", "free") for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i, j in _PAIRS])
 
 
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, their squared Mahalanobis distances."""
-    joined, y = rows.join(estimates, "group"), []
+    """``rows`` with ``d2``, their squared Mahalanobis distances, and the part ``free`` of it in directions that aren't floored."""
+    out = rows.join(estimates, "group")
     for i, name in enumerate(FEATURES):
         rest = F.col(name) - F.col(f"m_{i}")
         for k in range(i):
-            rest = rest - F.col(f"l_{i}_{k}") * y[k]
-        y.append(rest / F.col(f"l_{i}_{i}"))
-    return joined.withColumn("d2", sum((v * v for v in y), F.lit(0.0))).select(*rows.columns, "d2")
+            rest = rest - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
+        out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))  # columns, so that none is worked out again in the next
+    squares = [F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(FEATURES))]
+    free = sum((squares[i] * F.col(f"free_{i}").cast("double") for i in range(len(FEATURES))), F.lit(0.0))
+    return out.withColumns({"d2": sum(squares, F.lit(0.0)), "free": free}).select(*rows.columns, "d2", "free")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and floored scatter by group."""
+    """Mean and scatter by group."""
     means = [F.avg(name).alias(f"m_{i}") for i, name in enumerate(FEATURES)]
-    cov = [(F.coalesce(F.covar_pop(FEATURES[i], FEATURES[j]), F.lit(0.0)) + (FLOOR[FEATURES[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS]
+    cov = [F.coalesce(F.covar_pop(FEATURES[i], FEATURES[j]), F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS]
     return rows.groupBy("group").agg(*means, *cov)
 
 
@@ -146,7 +157,7 @@ def _starts(rows: DataFrame) -> list[DataFrame]:
     off = rows.join(medians, "group")
     spread = off.groupBy("group").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(FEATURES))],
-        *[(F.pow(1.4826 * F.percentile_approx(F.abs(F.col(name) - F.col(f"m_{i}")), 0.5, ACCURACY), 2) + FLOOR[name] ** 2).alias(f"c_{i}_{i}") for i, name in enumerate(FEATURES)],
+        *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(name) - F.col(f"m_{i}")), 0.5, ACCURACY), 2).alias(f"c_{i}_{i}") for i, name in enumerate(FEATURES)],
     )
     robust = spread.withColumns({f"c_{i}_{j}": F.lit(0.0) for i, j in _PAIRS if i != j})
     return [written(_factored(robust)), written(_factored(_moments(rows)))]
@@ -161,13 +172,16 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, steps: int) -> DataFram
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Minimum covariance determinant estimates by ``group``: m_i, the Cholesky factor l_i_j, and ``scale``, which makes distances consistent."""
+    """Minimum covariance determinant estimates by ``group``: m_i, the Cholesky factor l_i_j, and ``scale``, which makes distances in directions that aren't floored consistent."""
     first, second = (_concentrated(rows, start, STEPS) for start in _starts(rows))
     better = first.join(second.select("group", F.col("log_det").alias("other")), "group")
     chosen = better.filter("log_det <= other").drop("other").unionByName(second.join(better.filter("log_det > other").select("group"), "group", "left_semi"))
     best = _concentrated(rows, written(chosen), STEPS)
-    scale = written(_distances(rows, best).groupBy("group").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, ACCURACY) / MEDIAN).alias("scale")))
-    return written(best.join(scale, "group"))
+    n_free = sum(F.col(f"free_{i}").cast("int") for i in range(len(FEATURES)))
+    middle = _distances(rows, best).groupBy("group").agg(F.percentile_approx("free", 0.5, ACCURACY).alias("middle"))
+    scale = F.col("middle") / F.element_at(F.array(*map(F.lit, MEDIANS)), F.greatest(n_free, F.lit(1)))
+    found = best.join(written(middle), "group").withColumn("scale", F.when((n_free > 0) & (F.col("middle") > 0), scale).otherwise(1.0))
+    return written(found.drop("middle"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -177,7 +191,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = stats.withColumn("base_failed", failed)
     fine = _groups(rows.filter("not base_failed"))
     found = estimates(fine.select("group", *FEATURES))
-    near = _distances(fine, found).join(found.select("group", "scale"), "group").withColumn("distance", F.col("d2") / F.col("scale"))
+    near = _distances(fine, found).join(found.select("group", "scale"), "group").withColumn("distance", F.col("d2") - F.col("free") + F.col("free") / F.col("scale"))
     names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = near.select(*names, "distance", (F.col("distance") <= CUTOFF).alias("kept"))
     return good.unionByName(rows.filter("base_failed").select(*names, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))

@@ -214,6 +214,20 @@ def test_quality_rules_reject_short_outliers(spark):
     assert not any(kept.pop(900 + k) for k in range(5)) and sum(kept.values()) >= 290
 
 
+def test_quality_rules_follow_the_scatter_of_a_group(spark):
+    rng = random.Random(7)
+    tight = lambda: " ".join(f"abc{rng.randrange(10**4):04d}" + "x" * (rng.random() < 0.1) for _ in range(300))
+    loose = lambda k: " ".join(f"{'abcdefgh'[: k]}{rng.randrange(10**4):04d}" for _ in range(300))
+    rows = [(i, tight(), "en", "tight", 1) for i in range(150)] + [(200 + i, loose(rng.randint(2, 4)), "en", "loose", 1) for i in range(150)]
+    # eight letters a word: far from the tight group, and within the loose one
+    rows += [(900, loose(4), "en", "tight", 1), (901, loose(4), "en", "loose", 1)]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got.pop(900).kept and got.pop(901).kept
+    assert sum(r.kept for r in got.values()) >= 290
+    # the middle distance is that of one free direction
+    assert 0.3 < np.median([r.distance for d, r in got.items() if d < 200]) < 0.7
+
+
 def components(rows):
     sets = [(d, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()) for d, w in ((d, words(t)) for d, t in rows)]
     parent = list(range(len(sets)))
