@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -184,19 +185,97 @@ class _Made:
     @classmethod
     def drop(cls, spark: SparkSession) -> None:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
             for p in cls.paths:
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(conf).delete(path, True)
+                remove(spark, p)
         except Exception:  # the session has ended: its folder goes with the cluster's
             pass
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, which cuts its lineage."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    return _table(df, shared_dir(df.sparkSession))
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, which go when it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, shared_dir(spark), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        remove(self.spark, self.folder)
+        _Made.paths.remove(self.folder)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return _table(df, f"{self.folder}/table-{self.n}")
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the time of some jobs."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+# -- files of arrays in the shared folder
+
+
+def filesystem(path: str):
+    """(file system, path in it) of a path as Spark has it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = path[5:] if not path.startswith("file://") else path[7:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def put(folder: str, name: str, array: np.ndarray) -> None:
+    """Writes an array; a retried task replaces the whole file."""
+    files, base = filesystem(folder)
+    files.create_dir(base, recursive=True)
+    temp = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with files.open_output_stream(temp) as out:
+        out.write(memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b"")
+    files.move(temp, f"{base}/{name}")
+
+
+class Arrays:
+    """Reads parts of files of 64-bit integers: mapped into memory where the folder is mounted, else by position."""
+
+    def __init__(self, folder: str, most: int = 64):
+        self.files, self.base = filesystem(folder)
+        self.open, self.most = {}, most
+
+    def __call__(self, name: str, at: int, n: int) -> np.ndarray:
+        if name not in self.open:
+            if len(self.open) >= self.most:
+                self.open.pop(next(iter(self.open)))
+            path = f"{self.base}/{name}"
+            self.open[name] = np.memmap(path, "<u8", "r") if self.files.type_name == "local" else self.files.open_input_file(path)
+        file = self.open[name]
+        return np.asarray(file[at : at + n]) if isinstance(file, np.memmap) else np.frombuffer(file.read_at(8 * n, 8 * at), "<u8")
 
 
 def buckets(spark: SparkSession) -> int:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, written=written) -> DataFrame:
     """(``node``, ``label``) of the nodes of edges (``a``, ``b``): the label is the component's smallest node.
 
     Each round hooks every node to its smallest neighbour, follows the hooks to
     their roots by doubling, and contracts the edges to the roots; the number of
     nodes that still have edges halves at least. Hubs only meet partial
-    aggregates and joins with one row per node.
+    aggregates and joins with one row per node. ``written`` keeps the rounds' tables.
     """
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known, edges = None, written(edges)

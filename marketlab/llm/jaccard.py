@@ -6,41 +6,48 @@ joined once. For a node of n shingles, T is the least overlap that a link
 needs. In the order from rare to frequent shingles, the L = T - K longest of
 its inverted lists are skipped: a partner must occur ``OCCURRENCES`` = K times
 in the short lists that are left, so only these are built. They are merged by
-sorting, and the long ones are probed for the candidates by binary search,
-which counts the overlap exactly (DivideSkip). The order needs no exact
-frequencies: shingles that are frequent within some part of the input are
+sorting, and only candidates that occur often enough are probed for the rest by
+binary search, which counts the overlap exactly (DivideSkip). The order needs no
+exact frequencies: shingles that are frequent within some part of the input are
 counted, and the most frequent ``MAX_HOT`` come last.
 
-A short list of more than ``SMALL_LIST`` nodes, as of a large group of near
-copies, isn't expanded into pairs. At first, each node is verified against two
-of its candidates, the first and the one met most often, and then in rounds
-against a hub of its long lists, a node that is in most of them. What is linked
-then is one component; a last search takes all pairs of nodes in different
-components, also from the long lists, which are all that can still join
-components. So no link that matters is lost, and pairs within a component are
-not looked at. A pair is only verified if it met so often in the short lists
-that the long ones of either can make up for the rest.
-
-Inverted lists travel as packed arrays by ranges of the shingle's hash; the
-number of ranges follows the session's shuffle partitions. Sets are only made
-again for candidates, found through a bitmap of fixed size.
+Lists of up to ``SMALL_LIST`` nodes are expanded into pairs with how often they
+met. A pair that also meets in a longer list is looked for there, so a pair has
+met in full if it has only met in small lists. Nodes that share too few of their
+lists for any link are left out.
+
+Longer lists, as of a large group of near copies, aren't expanded. Nodes are
+held against hubs first: against two candidates of small lists, then in rounds
+against the node that is in most of their long lists. What links then is one
+component. Long lists with the same hub are a group; its nodes outside of its
+largest component are the queries of one more DivideSkip search over the whole
+sets of all its nodes, in blocks of ``BLOCK`` shingles, which returns no pairs
+but a forest of links that join components. So no link that joins components is
+lost, and pairs within a component are not looked at.
+
+Short lists travel as packed arrays by ranges of the shingle's hash; the number
+of ranges follows the session's shuffle partitions. Very frequent shingles are
+dealt by node instead, so that no task holds a hot list. Sets of candidates,
+found through a bitmap of fixed size, are written once to files in the shared
+folder, from which searches map them; what moves between tasks are their places.
 
 Nulls: null texts and texts without words have no shingles, link with nothing
 and are their own component. A null ``doc_id`` takes part, but is never the
-smallest. Repeated rows are reported each; rows with one ``doc_id`` stay or go
-together. Other columns are ignored, and kept
-by ``first_of_each``.
+smallest. Repeated rows are reported each. A very long text is one set, held
+whole. An empty table gives no rows. Other columns are ignored, and kept by
+``first_of_each``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, buckets, column, shingles, slices, written
+from .common import Arrays, Scratch, WordHasher, buckets, column, put, setting, shingles, slices, written
 from .graph import components
 
 #: Similarity in percent.
@@ -49,16 +56,20 @@ SMALL_LIST = 8
 #: How often a partner must occur in the short lists (K); they are longer by K - 1.
 OCCURRENCES = 8
 #: Rounds in which nodes of long lists are held against hubs.
-HUBS = 3
-#: Nodes of each side that a task holds against each other.
-BLOCK = 500
+HUBS = 2
+#: Shingles of each side that a task holds against each other.
+BLOCK = 2_000_000
 #: Shingles that can come last in the order, and the count from which a part of the input reports one.
 MAX_HOT, LOCAL_HOT = 200_000, 4
+#: Reported count from which a shingle's list is dealt by node.
+SPREAD = 256
 FLUSH = 2_000_000
 #: Bytes of text in a worker's arrays, and rows of a batch that it is sent.
 SLICE, BATCH_ROWS = 2 << 20, "1000"
 #: Words of 64 bits of the bitmap of candidates.
 BITMAP = 1 << 18
+#: The weight of probing against merging in the number of lists that a search in memory skips.
+MU = 0.05
 
 
 def set_of(found: np.ndarray) -> np.ndarray:
@@ -96,6 +107,11 @@ def meetings(n_a, n_b):
     return np.maximum(np.minimum(occurrences(n_a), occurrences(n_b)), overlap - np.maximum(n_a - short_lists(n_a), n_b - short_lists(n_b)))
 
 
+def least_meetings(n):
+    """How many of its short lists a node must share to link with anything (array or number)."""
+    return occurrences(needed(n))
+
+
 def _sets(batch, hasher) -> Iterator[np.ndarray]:
     hashes, offsets, _, _ = hasher.words(column(batch, "text"))
     found, at = shingles(hashes, offsets)
@@ -140,9 +156,9 @@ def nodes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, node long, n long, hot long, count long")
 
 
-def hot_shingles(found: DataFrame, most: int = MAX_HOT) -> tuple[np.ndarray, np.ndarray]:
+def hot_shingles(found: DataFrame, save=written, most: int = MAX_HOT) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` of the shingles reported as frequent, sorted, and their counts."""
-    counts = written(found.filter("hot is not null").groupBy("hot").agg(F.sum("count").alias("count")))
+    counts = save(found.filter("hot is not null").groupBy("hot").agg(F.sum("count").alias("count")))
     least = 2 * LOCAL_HOT
     while counts.filter(F.col("count") >= least).count() > most:
         least *= 2
@@ -162,29 +178,40 @@ def ordered(own: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, parts: int) -> DataFrame:
-    """The short inverted lists, packed by part: arrays of shingles and owners, and each owner's node and size."""
+    """The short inverted lists, packed by part: arrays of shingles and owners, and each owner's node and size.
+
+    ``spread`` are lists of very frequent shingles, whose rows are dealt by node.
+    A shingle's low half names it within its part.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         hasher, kept, nodes_, sizes, total = WordHasher(), [], {}, [], 0
+        often = shared.value[0][shared.value[1] >= SPREAD]
 
-        def flush():
-            lengths = np.array([len(k) for k in kept], np.int64)
-            flat = np.concatenate(kept)
-            owner = np.repeat(np.arange(len(kept), dtype=np.uint32), lengths)
-            part = (flat >> np.uint64(33)) % np.uint64(parts)
+        def packed(flat, owner, part, names, size, spread):
             order = np.lexsort((flat, part))
             cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            names, size = np.fromiter(nodes_, np.int64, len(nodes_)), np.array(sizes, np.uint32)
-            rows: list[tuple] = []
             for p in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[p] : cuts[p + 1]]
                 own, back = np.unique(owner[at], return_inverse=True)
-                rows.append((int(p), flat[at].tobytes(), back.astype(np.uint32).tobytes(), names[own].tobytes(), size[own].tobytes()))
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "shingles", "owners", "nodes", "sizes"])
+                lists = flat[at].tobytes() if spread else (flat[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+                yield int(p), spread, lists, back.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), names[own].tobytes(), size[own].tobytes()
+
+        def flush():
+            flat = np.concatenate(kept)
+            owner = np.repeat(np.arange(len(kept), dtype=np.uint32), [len(k) for k in kept])
+            names, size = np.fromiter(nodes_, np.int64, len(nodes_)), np.array(sizes, np.uint32)
+            wide = often[np.minimum(np.searchsorted(often, flat), len(often) - 1)] == flat if len(often) else np.zeros(len(flat), bool)
+            rows = []
+            for spread in (False, True):
+                here = wide == spread
+                part = (names[owner[here]].view(np.uint64) if spread else flat[here] >> np.uint64(33)) % np.uint64(parts)
+                rows += packed(flat[here], owner[here], part, names, size, spread)
+            kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "spread", "shingles", "owners", "nodes", "sizes"])
 
         for batch in slices(batches, "text", SLICE):
             for own in _sets(batch, hasher):
@@ -199,15 +226,26 @@ def postings(docs: DataFrame, hot: np.ndarray, counts: np.ndarray, parts: int) -
         if kept:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, shingles binary, owners binary, nodes binary, sizes binary")
+    return docs.mapInArrow(run, "part int, spread boolean, shingles binary, owners binary, nodes binary, sizes binary")
+
+
+def _unpacked(rows, spread: bool):
+    """(list, node, size) of the packed rows of a part."""
+    kind = np.uint64 if spread else np.uint32
+    lists = np.concatenate([np.frombuffer(r[0], kind) for r in rows])
+    owners = [np.frombuffer(r[1], np.uint16 if len(r[2]) < 8 << 16 else np.uint32) for r in rows]
+    node = np.concatenate([np.frombuffer(r[2], np.int64)[o] for r, o in zip(rows, owners, strict=True)])
+    size = np.concatenate([np.frombuffer(r[3], np.uint32)[o] for r, o in zip(rows, owners, strict=True)]).astype(np.int64)
+    return lists, node, size
 
 
 def merged(parts: DataFrame, n_parts: int) -> DataFrame:
     """Merges the short lists.
 
     Rows are pairs (``a``, ``b``) with how often they met in lists that were
-    expanded (``met``) and how often they need to (``need``); and the rows of
-    the other lists (``list``, ``a``, ``n``).
+    expanded (``met``) and how often they need to (``need``); the rows of the
+    other lists (``list``, ``a``, ``n``); and in how many lists with others a
+    node is (``a``, ``n``, ``met``).
     """
     names = ["a", "b", "met", "need", "list", "n"]
 
@@ -218,15 +256,22 @@ def merged(parts: DataFrame, n_parts: int) -> DataFrame:
             size = next(len(c) for c in columns if c is not None)
             return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names)
 
+        def shares(node, size):
+            one, first, count = np.unique(node, return_index=True, return_counts=True)
+            return table(one, None, count, None, None, size[first])
+
         blobs: dict[int, list] = {}
         for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("part", "shingles", "owners", "nodes", "sizes")), strict=True):
-                blobs.setdefault(row[0], []).append(row[1:])
-        for rows in blobs.values():
-            shingle = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-            owners = [np.frombuffer(r[1], np.uint32) for r in rows]
-            node = np.concatenate([np.frombuffer(r[2], np.int64)[o] for r, o in zip(rows, owners, strict=True)])
-            size = np.concatenate([np.frombuffer(r[3], np.uint32)[o] for r, o in zip(rows, owners, strict=True)]).astype(np.int64)
+            for part, spread, *row in zip(*(column(batch, c).to_pylist() for c in ("part", "spread", "shingles", "owners", "nodes", "sizes")), strict=True):
+                if spread:
+                    shingle, node, size = _unpacked([row], True)
+                    yield table(node, None, None, None, shingle.view(np.int64), size)
+                    yield shares(node, size)
+                else:
+                    blobs.setdefault(part, []).append(row)
+        while blobs:
+            part, rows = blobs.popitem()
+            shingle, node, size = _unpacked(rows, False)
             order = np.argsort(shingle, kind="stable")
             shingle = shingle[order]
             shared = np.zeros(len(order), bool)
@@ -246,6 +291,8 @@ def merged(parts: DataFrame, n_parts: int) -> DataFrame:
             lengths = np.diff(np.append(heads, len(node)))
             rank = np.arange(len(node)) - np.repeat(heads, lengths)
             length = np.repeat(lengths, lengths)
+            if (length > 1).any():
+                yield shares(node[length > 1], size[length > 1])
             left, right = [], []
             for gap in range(1, SMALL_LIST):
                 i = np.flatnonzero((rank + gap < length) & (length <= SMALL_LIST))
@@ -262,7 +309,7 @@ def merged(parts: DataFrame, n_parts: int) -> DataFrame:
                 at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
                 yield table(a[at], b[at], np.diff(np.append(at, len(a))), meetings(size[first], size[second])[at], None, None)
             if len(long):
-                yield table(node[long], None, None, None, shingle[long].view(np.int64), size[long])
+                yield table(node[long], None, None, None, (np.int64(part) << 32) | shingle[long].astype(np.int64), size[long])
 
     return parts.repartitionById(n_parts, "part").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -283,45 +330,61 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(``node``, ``shingles``) of the nodes in ``wanted`` (``node``, ``key``), from the rows with these keys."""
+def stored(docs: DataFrame, wanted: DataFrame, folder: str, save) -> DataFrame:
+    """Writes the sets of the nodes in ``wanted`` (``node``, ``key``) to files, and returns where each is (``node``, ``file``, ``at``, ``size``)."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        hasher = WordHasher()
+        hasher, kept, found, total = WordHasher(), [], {}, 0
+
+        def flush():
+            name = f"sets-{uuid.uuid4().hex}"
+            put(folder, name, np.concatenate(kept))
+            size = np.array([len(k) for k in kept], np.int64)
+            columns = [pa.array(list(found), pa.int64()), pa.array([name] * len(size)), pa.array(np.cumsum(size) - size), pa.array(size)]
+            return pa.RecordBatch.from_arrays(columns, ["node", "file", "at", "size"])
+
         for batch in batches:
             bit = column(batch, "bit").to_numpy()
             batch = batch.filter(pa.array((bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for part in slices([batch], "text", SLICE):
-                own = list(_sets(part, hasher))
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "shingles"])
+                for own in _sets(part, hasher):
+                    if len(own) and (node := node_of(own)) not in found:
+                        found[node] = None
+                        kept.append(own)
+                        total += len(own)
+                if total > FLUSH:
+                    yield flush()
+                    kept, found, total = [], {}, 0
+        if kept:
+            yield flush()
 
-    made = docs.withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(64 * BITMAP))).select("text", "bit").mapInArrow(run, "node long, shingles binary")
-    return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    made = docs.withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(64 * BITMAP))).select("text", "bit").mapInArrow(run, "node long, file string, at long, size long")
+    return save(save(made).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("file", "at", "size")).alias("s")).select("node", "s.*"))
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets reach the similarity, by probing one with the other."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        sets = Arrays(folder)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            places = [column(batch, c).to_pylist() for c in ("a_file", "a_at", "a_size", "b_file", "b_at", "b_size")]
+            for i in sorted(range(batch.num_rows), key=lambda i: (places[0][i], places[3][i])):
+                x, y = (sets(*(c[i] for c in side)) for side in (places[:3], places[3:]))
                 if len(x) > len(y):
                     x, y = y, x
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    # each side alone, so that few pairs are broadcast to the sets, which then stay where they are
-    x = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    y = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    side = lambda name: known.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("file", "at", "size")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -338,90 +401,129 @@ def hub_pairs(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 
 
 def groups(lists: DataFrame) -> DataFrame:
-    """(``group``, ``node``, ``n``, ``lists``, ``groups``): a node's long lists, grouped by their hub, and how many groups it is in."""
+    """(``group``, ``node``, ``n``): the nodes of long lists, grouped by the lists' hub."""
     degree = lists.groupBy("node").agg(F.count("*").alias("degree"))
     own = lists.join(degree, "node")
     hub = own.groupBy("list").agg(F.max(F.struct("degree", "node")).alias("hub")).select("list", F.col("hub.node").alias("group"))
-    members = written(own.join(hub, "list").groupBy("group", "node").agg(F.first("n").alias("n"), F.collect_list("list").alias("lists")))
-    return written(members.join(members.groupBy("node").agg(F.count("*").alias("groups")), "node"))
+    return own.join(hub, "list").select("group", "node", "n").distinct()
 
 
-def long_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that meet in the long lists often enough.
+def occurring(index: tuple, query: np.ndarray, least: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """DivideSkip in memory: the owners that hold ``least`` or more of the query's shingles, and how many.
 
-    In a group, the nodes outside of its largest component are the queries, held
-    against all of its nodes in blocks; meetings are counted by a matrix product.
-    A pair's meetings are spread over the groups that both are in and the lists
-    that were expanded, so one of these has its share of what is needed.
+    ``index`` has the distinct shingles, where their lists begin and end, and
+    the owners, sorted within a list. The short lists are merged; their
+    candidates are looked up in the L longest ones by binary search.
+    """
+    values, begins, ends, owners, keys = index
+    place = np.minimum(np.searchsorted(values, query), len(values) - 1)
+    lists = place[values[place] == query]
+    if len(lists) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = ends[lists] - begins[lists]
+    skip = min(least - 1, int(least / (MU * np.log2(length.max() + 1) + 1)))
+    lists, length = (x[np.argsort(length, kind="stable")] for x in (lists, length))
+    short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
+    size = length[: len(short)]
+    at = np.repeat(begins[short] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    met = np.bincount(owners[at], minlength=n_rows)
+    found = np.flatnonzero(met >= least - skip)
+    probe = long[:, None] * n_rows + found[None, :]
+    hit = keys[np.minimum(np.searchsorted(keys, probe), len(keys) - 1)] == probe
+    overlap = met[found] + hit.sum(axis=0)
+    good = overlap >= least
+    return found[good], overlap[good]
+
+
+def group_links(members: DataFrame, labels: DataFrame, known: DataFrame, folder: str) -> DataFrame:
+    """Links that join the components that meet in a group.
+
+    In a group, the nodes outside of its largest component are the queries,
+    held against all of its nodes in blocks.
     """
     own = _labelled(members, labels)
-    sizes = own.groupBy("group", "label").agg(F.count("*").alias("size"))
-    stats = sizes.groupBy("group").agg(F.sum("size").alias("total"), F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = own.join(stats, "group").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    mixed = mixed.withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("asks", F.col("label") != F.col("largest"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["group", "node", "n", "lists", "groups", "label"]
-    left = mixed.filter("asks").select(*columns, F.lit(0).alias("side"), F.col("own_block").alias("left_block"), every.alias("right_block"))
-    right = mixed.select(*columns, F.lit(1).alias("side"), every.alias("left_block"), F.col("own_block").alias("right_block"))
-
-    def count(frame):
+    sizes = own.groupBy("group", "label").agg(F.sum("n").alias("size"))
+    stats = sizes.groupBy("group").agg(F.sum("size").alias("total"), F.max_by("label", F.struct("size", "label")).alias("largest"), F.max("size").alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    count = lambda size: F.ceil(size / BLOCK).cast("int")
+    mixed = own.join(stats, "group").join(known, "node").withColumn("asks", F.col("label") != F.col("largest"))
+    mixed = mixed.withColumn("right_blocks", count(F.col("total"))).withColumn("left_blocks", count(F.col("total") - F.col("most")))
+    of = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = ["group", "node", "label", "file", "at", "size"]
+    left = mixed.filter("asks").select(*columns, F.lit(0).alias("side"), of("left_blocks").alias("left_block"), every("right_blocks").alias("right_block"))
+    right = mixed.select(*columns, F.lit(1).alias("side"), every("left_blocks").alias("left_block"), of("right_blocks").alias("right_block"))
+
+    def search(frame):
         import pandas as pd
 
-        lists, places = np.unique(np.concatenate([np.asarray(x) for x in frame["lists"]]), return_inverse=True)
-        at = np.repeat(np.arange(len(frame)), [len(x) for x in frame["lists"]])
-        table = np.zeros((len(frame), len(lists)), np.float32)
-        table[at, places] = 1
-        ask = frame["side"].to_numpy() == 0
-        met = (table[ask] @ table[~ask].T).astype(np.int64)
-        i, j = np.nonzero(met)
-        x, y = frame[ask], frame[~ask]
-        pick = lambda part, name, k: part[name].to_numpy()[k]
-        n_x, n_y, a, b = pick(x, "n", i), pick(y, "n", j), pick(x, "node", i), pick(y, "node", j)
-        share = np.minimum(pick(x, "groups", i), pick(y, "groups", j)) + 1
-        good = (pick(x, "label", i) != pick(y, "label", j)) & near_size(n_x, n_y) & (met[i, j] * share >= meetings(n_x, n_y))
-        return pd.DataFrame({"a": np.minimum(a, b)[good], "b": np.maximum(a, b)[good]})
-
-    return left.unionByName(right).groupBy("group", "left_block", "right_block").applyInPandas(count, "a long, b long").distinct()
+        read, asks, held = Arrays(folder), frame[frame["side"] == 0].sort_values("node"), frame[frame["side"] == 1].sort_values(["file", "at"])
+        if not len(asks) or not len(held):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets = [read(*place) for place in zip(held["file"], held["at"], held["size"], strict=True)]
+        size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owners, flat = np.repeat(np.arange(len(sets)), size)[order], flat[order]
+        begins = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        ends = np.append(begins[1:], len(flat))
+        index = flat[begins], begins, ends, owners, np.repeat(np.arange(len(begins)), ends - begins) * len(sets) + owners
+        node, label, root, links = held["node"].to_numpy(), held["label"].to_numpy(), {}, []
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = up = root.get(up, up)
+                x = up
+            return x
+
+        for ask, ask_label, *place in zip(*(asks[c] for c in ("node", "label", "file", "at", "size")), strict=True):
+            query = read(*place)
+            found, common = occurring(index, query, int(needed(len(query))), len(sets))
+            for i in found[100 * common >= PERCENT * (len(query) + size[found] - common)].tolist():
+                x, y = find(ask_label), find(label[i])
+                if x != y:
+                    root[x] = y
+                    links.append((min(ask, node[i]), max(ask, node[i])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return left.unionByName(right).groupBy("group", "left_block", "right_block").applyInPandas(search, "a long, b long")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): each row's ``doc_id``, ``key``, ``node`` and ``n``, and the ``label`` of each node that is linked."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    found = written(nodes(docs))
-    rows = found.filter("hot is null").select("doc_id", "key", "node", "n")
-    parts = buckets(spark)
-    merged_ = written(merged(postings(docs.select("text"), *hot_shingles(found), parts), parts))
-    pairs = written(merged_.filter("list is null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")))
-    lists = merged_.filter("list is not null").select("list", F.col("a").alias("node"), "n")
-    likely = pairs.filter("met >= need")
-    best = likely.groupBy("b").agg(F.min("a").alias("first"), F.max_by("a", F.struct("met", "a")).alias("most"))
-    tried = written(best.select(F.explode(F.array("first", "most")).alias("a"), "b").distinct())
-    # whatever can still be asked for: partners that met often enough, and the nodes of long lists
-    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(lists.select("node")).distinct()
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), Scratch(spark) as scratch:
+        return _linked(docs, scratch.written, scratch.folder)
+
+
+def _linked(docs: DataFrame, save, folder: str) -> tuple[DataFrame, DataFrame]:
+    parts = buckets(docs.sparkSession)
+    found = save(nodes(docs))
+    rows = written(found.filter("hot is null").select("doc_id", "key", "node", "n"))
+    merged_ = save(merged(postings(docs.select("text"), *hot_shingles(found, save), parts), parts))
+    least = F.greatest(F.lit(1), F.least(F.lit(OCCURRENCES), F.floor(F.ceil(F.ceil(F.col("n") * PERCENT / 100) * PERCENT / 100) / 8)))
+    alive = merged_.filter("b is null and list is null").groupBy(F.col("a").alias("node")).agg(F.sum("met").alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= least).select("node")
+    lists = save(merged_.filter("list is not null").select("list", F.col("a").alias("node"), "n").distinct().join(alive, "node", "left_semi"))
+    pairs = save(merged_.filter("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b", "met"))
+    best = pairs.groupBy("b").agg(F.min("a").alias("first"), F.max_by("a", F.struct("met", "a")).alias("most"))
+    tried = save(best.select(F.explode(F.array("first", "most")).alias("a"), "b").distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
     keys = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-    known = written(sets(docs, written(keys.join(ends, "node", "left_semi"))))
-    links = written(verified(tried, known))
-    labels = components(links)
+    known = stored(docs, save(keys.join(ends, "node", "left_semi")), f"{folder}/sets", save)
+    sets = f"{folder}/sets"
+    links = save(verified(tried, known, sets))
+    labels = components(links, save)
     for turn in range(HUBS):
-        more = written(hub_pairs(lists, labels, turn).join(tried, ["a", "b"], "left_anti"))
+        more = save(hub_pairs(lists, labels, turn).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        tried, links = tried.unionByName(more), written(links.unionByName(verified(more, known)))
-        labels = components(links)
-    # what is left: pairs in different components that met often enough in some lists
-    members = groups(lists)
-    spread = members.select("node", "groups").distinct()
+        tried, links = tried.unionByName(more), save(links.unionByName(verified(more, known, sets)))
+        labels = components(links, save)
+    # what is left: pairs in different components
     own = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    in_ = lambda name: spread.select(F.col("node").alias(name), F.col("groups").alias(f"{name}_groups"))
-    apart = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).join(in_("a"), "a", "left").join(in_("b"), "b", "left")
-    share = F.least(F.coalesce("a_groups", F.lit(0)), F.coalesce("b_groups", F.lit(0))) + 1
-    more = apart.filter(F.col("met") * share >= F.col("need")).select("a", "b").union(long_pairs(members, labels)).distinct()
-    rest = written(more.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = components(links.unionByName(verified(rest, known)))
-    return rows, labels
+    apart = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    rest = verified(apart.join(tried, ["a", "b"], "left_anti"), known, sets)
+    more = save(rest.unionByName(group_links(groups(lists), labels, known, sets)))
+    return rows, written(labels if more.isEmpty() else components(links.unionByName(more), save))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -435,7 +537,22 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest ``doc_id`` of each component; rows without a ``doc_id`` stay."""
-    keep = written(join(docs).filter("doc_id = component_id").select("doc_id").distinct())
-    first = docs.join(keep.withColumnRenamed("doc_id", "kept_doc_id"), F.col("doc_id").cast("long") == F.col("kept_doc_id"), "left_semi")
-    return first.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of ``docs`` for each component: that of the smallest ``doc_id``, by text and then by the other columns among equals.
+
+    A row without a ``doc_id`` is kept if its component has no other. Rows
+    without words link with nothing, and all stay.
+    """
+    rows, labels = linked(docs)
+    label = _labelled(rows.filter("node is not null"), labels)
+    first = label.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"), F.count("*").alias("rows"))
+    gone = written(label.join(first.filter("rows > 1"), "label").filter(~F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").eqNullSafe(F.col("first"))).select("key").distinct())
+    again = written(rows.filter("node is not null").groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key").join(gone, "key", "left_anti"))
+    key, name = F.xxhash64(F.col("doc_id").cast("long"), "text"), f"key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(name, key)
+    to = lambda keys: keys.withColumnRenamed("key", name)
+    once = keyed.join(to(gone.unionByName(again)), name, "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return once
+    order = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    repeated = keyed.join(to(again), name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row"))
+    return once.unionByName(repeated.select("row.*"))

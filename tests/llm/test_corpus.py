@@ -267,11 +267,51 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == components(rows)
 
 
-def test_first_of_each(docs):
+@pytest.mark.parametrize("small,block,spread,hubs", [(2, 400, 1, 0), (2, 3000, 8, 1), (8, 10**6, 256, 2)])
+def test_jaccard_join_of_overlapping_groups(spark, monkeypatch, small, block, spread, hubs):
+    for name, value in (("SMALL_LIST", small), ("BLOCK", block), ("SPREAD", spread), ("HUBS", hubs)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(9)
+    bases = [[f"b{k}-{i}" for i in range(90)] for k in range(3)]
+    bases.append(bases[0][:45] + bases[1][45:])
+    rows = []
+    for i in range(90):
+        w = list(bases[i % 4])
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == components(rows)
+
+
+def test_search_of_an_index():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
+    flat, owners = np.concatenate(sets), np.repeat(np.arange(80), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owners = flat[order], owners[order]
+    begins = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    ends = np.append(begins[1:], len(flat))
+    index = flat[begins], begins, ends, owners, np.repeat(np.arange(len(begins)), ends - begins) * 80 + owners
+    for query in sets:
+        least = max(1, len(query) * 8 // 10)
+        found, overlap = jaccard.occurring(index, query, least, 80)
+        want = {i: len(np.intersect1d(query, s)) for i, s in enumerate(sets)}
+        assert dict(zip(found.tolist(), overlap.tolist(), strict=True)) == {i: n for i, n in want.items() if n >= least}
+
+
+def test_first_of_each(spark, docs):
     got = jaccard.first_of_each(docs)
     assert got.columns == docs.columns
-    want = {c for _, _, c in components(docs.select("doc_id", "text").collect())}
-    assert {r.doc_id for r in got.collect()} == want
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    rows = components(docs.select("doc_id", "text").collect())
+    # one row for each component; rows without words all stay
+    want = list({c for _, n, c in rows if n}) + [d for d, n, _ in rows if not n]
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, want))
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "a"), (None, text, "a"), (5, None, "a"), (5, None, "a"), (None, text + " more words of another kind" * 9, "a"), (None, text + " more words of another kind" * 9, "a")]
+    kept = jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, kept_doc_id string")).collect()
+    assert sorted([(r.doc_id, len(r.text or "")) for r in kept], key=str) == sorted([(1, len(text)), (5, 0), (5, 0), (None, len(rows[-1][1]))], key=str)
 
 
 def test_resampling(spark):
