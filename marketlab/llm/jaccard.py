@@ -58,7 +58,7 @@ OCCURRENCES = 8
 #: Rounds in which nodes of long lists are held against hubs.
 HUBS = 2
 #: Shingles of each side that a task holds against each other.
-BLOCK = 2_000_000
+BLOCK = 500_000
 #: Shingles that can come last in the order, and the count from which a part of the input reports one.
 MAX_HOT, LOCAL_HOT = 200_000, 4
 #: Reported count from which a shingle's list is dealt by node.
@@ -484,7 +484,9 @@ def group_links(members: DataFrame, labels: DataFrame, known: DataFrame, folder:
                     links.append((min(ask, node[i]), max(ask, node[i])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return left.unionByName(right).groupBy("group", "left_block", "right_block").applyInPandas(search, "a long, b long")
+    # a given number of partitions, as few bytes of places stand for much work
+    keys, parts = ["group", "left_block", "right_block"], buckets(members.sparkSession)
+    return left.unionByName(right).repartition(parts, *keys).groupBy(*keys).applyInPandas(search, "a long, b long")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
