@@ -11,8 +11,8 @@ are sums before they move. Counts of counts give the discounts.
 
 Scoring workers map the arrays into memory from the shared folder and find
 their sorted hashes by binary search, so that a model may exceed a worker's
-memory; where the shared folder isn't a mounted one, a worker copies the
-files to its own folder first.
+memory. The shared folder must be mounted on all machines: nothing is copied to
+local ones.
 
 The order is two, because a trigram model's arrays and shuffle came to 4.2
 times the input on disk (about 1.2 GB shuffled and 0.8 GB stored for 0.5 GB).
@@ -26,9 +26,6 @@ no rows. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +33,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, buckets, column, mix, shared_dir, slices
+from .common import WordHasher, buckets, column, filesystem, mix, put, setting, shared_dir, slices
 
 BEGIN, END = (mix(np.array([x], np.uint64)) for x in (0x5EED0001, 0x5EED0002))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs that a map task counts before it deals them.
 FLUSH = 3_000_000
+#: Bytes of packed pairs that leave a worker at once, and of texts that it is sent at once.
+BATCH_BYTES, TEXT_BYTES = 2 << 20, "8m"
 #: Ranges of words at most; of pairs there are as many as shuffle partitions.
 WORD_PARTS = 1024
 
@@ -79,46 +78,11 @@ def contexts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return before
 
 
-# -- files in the shared folder
-
-
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def _uri(path: str) -> str:
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-
-
-def put(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array; a retried task replaces the whole file."""
-    files, base = _filesystem(_uri(folder))
-    files.create_dir(base, recursive=True)
-    temp = f"{base}/.{name}-{uuid.uuid4().hex}"
-    with files.open_output_stream(temp) as out:
-        out.write(np.ascontiguousarray(array).tobytes())
-    files.move(temp, f"{base}/{name}")
-
-
-_LOCAL: dict[str, str] = {}
-
-
-def _local(folder: str) -> str:
-    files, base = _filesystem(_uri(folder))
-    if files.type_name == "local":
-        return base
-    if folder not in _LOCAL:
-        from pyarrow import fs
-
-        _LOCAL[folder] = tempfile.mkdtemp(prefix="kneser-")
-        fs.copy_files(base, _LOCAL[folder], source_filesystem=files)
-    return _LOCAL[folder]
-
-
 def mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    path = os.path.join(folder, name)
+    files, base = filesystem(folder)
+    if files.type_name != "local":
+        raise RuntimeError("a model is mapped into memory: spark.checkpoint.dir must be a folder that all machines have mounted")
+    path = os.path.join(base, name)
     if not os.path.exists(path) or not os.path.getsize(path):
         return np.zeros(0, kind)
     return np.memmap(path, kind, "r")
@@ -138,11 +102,6 @@ class Model:
     word_discounts: tuple[float, float, float]
     word_mass: float
 
-    def drop(self) -> None:
-        files, base = _filesystem(_uri(self.folder))
-        if files.type_name == "local":
-            shutil.rmtree(base, ignore_errors=True)
-
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Chen and Goodman's three discounts; halves of the counts where counts of counts are missing."""
@@ -161,7 +120,7 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _pairs(parts: int):
-    names = ["part", "contexts", "context_at", "words", "word_at", "counts"]
+    names = ["part", "contexts", "runs", "words", "word_at", "counts"]
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -169,31 +128,42 @@ def _pairs(parts: int):
         hasher, kept, size = WordHasher(), [], 0
 
         def flush():
-            context, word = (np.concatenate(x) for x in zip(*kept, strict=True))
+            """Packed rows of the parts, a few megabytes at a time."""
+            context, word = (np.concatenate([x for x in part if len(x)]) for part in (map(lambda k: contexts(*k), kept), (k[0] for k in kept)))
+            kept.clear()
             order = np.argsort(pair(context, word), kind="stable")
             context, word = context[order], word[order]
             heads = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
             count = np.diff(np.append(heads, len(context)))
             context, word = context[heads], word[heads]
+            del order, heads
             cuts = np.searchsorted(ranged(pair(context, word), parts), np.arange(parts + 1, dtype=np.uint64))
-            rows: list[tuple] = []
+            rows, held = [], 0
             for p in np.flatnonzero(np.diff(cuts)):
-                here, row = slice(cuts[p], cuts[p + 1]), [int(p)]
-                for x in (context[here], word[here]):
-                    table, at = np.unique(x, return_inverse=True)
-                    row += [table.tobytes(), at.astype(np.uint16 if len(table) < 1 << 16 else np.uint32).tobytes()]
-                rows.append((*row, count[here].astype(np.uint32).tobytes()))
+                here = slice(cuts[p], cuts[p + 1])
+                by_context = np.argsort(context[here], kind="stable")
+                table, runs = np.unique(context[here], return_counts=True)
+                words, at = np.unique(word[here][by_context], return_inverse=True)
+                rows.append((int(p), table.tobytes(), _small(runs), words.tobytes(), _small(at), _small(count[here][by_context])))
+                held += sum(map(len, rows[-1][1:]))
+                if held > BATCH_BYTES:
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
+
+        def packed(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], names)
 
         for batch in slices(batches, "text"):
             words, at = tokens(batch, hasher)
-            kept.append((contexts(words, at), words))
+            kept.append((words, at))
             size += len(words)
             if size > FLUSH:
-                yield flush()
-                kept, size = [], 0
-        if kept:
-            yield flush()
+                yield from flush()
+                size = 0
+        if size:
+            yield from flush()
 
     return run
 
@@ -206,17 +176,12 @@ def _added_pairs(folder: str, word_parts: int):
         for batch in batches:
             for part, *row in zip(*(column(batch, c).to_pylist() for c in batch.schema.names), strict=True):
                 packed.setdefault(part, []).append(row)
-        for part, rows in packed.items():
-
-            def joined(table: int, rows=rows) -> np.ndarray:
-                out = []
-                for r in rows:
-                    values = np.frombuffer(r[table], np.uint64)
-                    out.append(values[np.frombuffer(r[table + 1], np.uint16 if len(values) < 1 << 16 else np.uint32)])
-                return np.concatenate(out)
-
-            context, word = joined(0), joined(2)
-            count = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
+        while packed:
+            part, rows = packed.popitem()
+            context = np.concatenate([np.repeat(np.frombuffer(r[0], np.uint64), _read(r[1])) for r in rows])
+            word = np.concatenate([np.frombuffer(r[2], np.uint64)[_read(r[3])] for r in rows])
+            count = np.concatenate([_read(r[4]) for r in rows]).astype(np.int64)
+            del rows
             key = pair(context, word)
             order = np.argsort(key, kind="stable")
             key = key[order]
@@ -252,6 +217,10 @@ def _small(x: np.ndarray) -> bytes:
     return bytes([size]) + x.astype(f"<u{size}").tobytes()
 
 
+def _read(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", (len(raw) - 1) // raw[0], 1)
+
+
 def _large(raw: bytes, n: int, k: int) -> list[np.ndarray]:
     out, at = [], 0
     for _ in range(k):
@@ -296,10 +265,15 @@ def _added_words(folder: str):
 
 def train(texts: DataFrame) -> Model:
     """Counts the model of ``text``."""
+    with setting(texts.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES):
+        return _train(texts)
+
+
+def _train(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     folder, parts = shared_dir(spark), buckets(spark)
     word_parts = min(parts, WORD_PARTS)
-    dealt = texts.select("text").mapInArrow(_pairs(parts), "part int, contexts binary, context_at binary, words binary, word_at binary, counts binary")
+    dealt = texts.select("text").mapInArrow(_pairs(parts), "part int, contexts binary, runs binary, words binary, word_at binary, counts binary")
     schema = "part int, contexts binary, context_stats binary, words binary, word_stats binary, sums array<long>"
     first = dealt.repartitionById(parts, "part").mapInArrow(_added_pairs(folder, word_parts), schema)
     stats = f"{folder}/stats"
@@ -317,7 +291,7 @@ class Scorer:
     """A worker's view of a model's arrays."""
 
     def __init__(self, model: Model):
-        self.model, self.folder, self.open = model, _local(model.folder), {}
+        self.model, self.folder, self.open = model, model.folder, {}
         # the sum of distinct contexts over all words is the number of pairs
         self.total = max(model.n_pairs, 1)
 
