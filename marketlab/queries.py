@@ -624,8 +624,7 @@ def bootstrap_ci(s, d):
 @query()
 def spa_test(s, d):
     wide = perf(s, d).groupBy("t").pivot("cfg_idx", [0, 1, 2, 3, 4]).agg(F.first("ret")).orderBy("t").toPandas().drop(columns="t")  # the calendar
-    got = resampling.superior_ability(s, wide.to_numpy(), 500, 3.0)
-    return s.createDataFrame([(float(got["statistic"]), float(got["rc_pvalue"]), float(got["p_lower"]), float(got["p_consistent"]), float(got["p_upper"]))], "statistic double, rc_pvalue double, p_lower double, p_consistent double, p_upper double")
+    return resampling.superior_ability(s, wide.to_numpy(), 500, 3.0).select("statistic", "rc_pvalue", "p_lower", "p_consistent", "p_upper")
 
 
 # -- allocation
