@@ -89,10 +89,14 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(set(names))]), out
 
 
-def texts(html: str) -> Iterator[tuple[str, bool, bool, str | None]]:
+#: What ``texts`` gives instead of a text at a block's edge.
+EDGE = object()
+
+
+def texts(html: str) -> Iterator[tuple[str, bool, bool, object]]:
     """(path, stated to be no main text, in a link, text), in page order.
 
-    A text of None is an element's start; "\\n" alone stands for a block's edge.
+    A text of None is an element's start, ``EDGE`` a block's edge.
     """
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, out, link
     at, n = 0, len(html)
@@ -108,7 +112,7 @@ def texts(html: str) -> Iterator[tuple[str, bool, bool, str | None]]:
         elif tag:
             tag = tag.lower()
             if tag in _BLOCK:
-                yield top[1], top[2], top[3], "\n"
+                yield top[1], top[2], top[3], EDGE
             if m[1] or m[4]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
@@ -160,7 +164,7 @@ def paths(pages: DataFrame) -> DataFrame:
                     row = seen.setdefault(path, [0, 0, 0, out, 0])
                     if text is None:
                         row[0] += 1
-                    elif not text.isspace():
+                    elif text is not EDGE and not text.isspace():
                         size = len(text.strip())
                         row[1] += size
                         row[2] += size * link
@@ -245,7 +249,7 @@ def main_text(html: str, main: str | None, fixed: frozenset[str] = frozenset())
     for path, out, _, text in texts(html):
         if text is None:
             found = found or path == main
-        elif text == "\n":
+        elif text is EDGE:
             flush()
         elif not out:
             if main is not None and (path == main or path.startswith(main + "/")):

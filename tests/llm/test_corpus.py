@@ -458,3 +458,8 @@ def test_empty_tables(spark, empty):
         containment.search(empty, benchmark), containment.clean(empty, benchmark), secretscan.scan(empty), packing.pack(empty), template.extract(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
         assert made.count() == 0
+
+
+def test_line_ends_between_inline_elements_are_white_space():
+    assert template.main_text("<p><b>A</b>\n<i>B</i> tail</p>\n<p>next</p>", None) == "A B tail\nnext"
+    assert template.main_text("<div>a\n\n<span>\n</span>b<br>c</div>", None) == "a b\nc"
