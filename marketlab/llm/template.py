@@ -89,8 +89,8 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(set(names))]), out
 
 
-#: What ``texts`` gives instead of a text at a block's edge.
-EDGE = object()
+class EDGE:
+    """What ``texts`` gives instead of a text at a block's edge; a class, as workers know it by its name."""
 
 
 def texts(html: str) -> Iterator[tuple[str, bool, bool, object]]:
