@@ -6,11 +6,18 @@ resolved, base64 runs give what they hold, deflated or gzipped bytes are
 inflated. A base64 run may mix the standard and the URL-safe alphabet, or be
 wrapped in lines; what doesn't decode as a whole is tried in its parts, which
 are lines of one width with those next to them, single lines, and stretches of
-one alphabet. New texts join the list until it is empty; a text met before is left
-out, so that encodings which lead back to themselves end. Every entry has, for
-each of its characters, the place in the original text that it came from; what
-is found in it is reported there. A base64 run's characters map to the four
-that hold them, an inflated text's to all that the compressed data takes.
+one alphabet. New texts join the list until it is empty; a text met before at
+the same places is left out, so that encodings which lead back to themselves
+end. Every entry has, for each of its characters, the place in the original text
+that it came from; what is found in it is reported there. A base64 run's
+characters map to the four that hold them, an inflated text's to all that the
+compressed data takes.
+
+The list is a stack of what each entry still gives, and a compressed layer is
+inflated and scanned in chunks of ``CHUNK`` bytes that overlap by ``OVERLAP``;
+so a layer of any size takes bounded memory, and only an encoded run of more
+than the overlap, nested in such a layer and cut by a chunk's end, is decoded in
+its parts.
 
 Nulls: a null text is an empty one; a null ``doc_id`` is kept. Repeated rows
 are scanned each. An empty table gives no rows. Other columns are ignored by
@@ -52,8 +59,11 @@ _PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 
-#: Bytes up to which a compressed layer is inflated; a layer that is longer is counted as cut.
-MAX_LAYER = 256 << 20
+#: Escapes of escapes of escapes: all but the last two levels go in one step, as each has nothing else in it.
+_DEEP = re.compile(r"%(?:25){2,}(?=[0-9A-Fa-f]{2})")
+
+#: Bytes of a compressed layer that are scanned at once, and how many of them again with the next ones.
+CHUNK, OVERLAP = 8 << 20, 1 << 20
 
 
 def scan_one(text: str) -> list[tuple[int, int, str]]:
@@ -70,24 +80,39 @@ def scan_one(text: str) -> list[tuple[int, int, str]]:
 
 @dataclass
 class Layer:
-    """A text, and the places of its characters in the original (None: their own)."""
+    """A text, and the places of its characters in the original: their own (None), one for all (numbers), or arrays."""
 
     text: str
-    starts: np.ndarray | None = None
-    ends: np.ndarray | None = None
+    starts: np.ndarray | int | None = None
+    ends: np.ndarray | int | None = None
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def within(self, text: str, starts, ends) -> Layer:
+        """A layer that comes of this one, with the places of its characters in it."""
+        if self.starts is None:
+            return Layer(text, starts, ends)
+        if isinstance(self.starts, int):
+            return Layer(text, self.starts, self.ends)
+        if isinstance(starts, int):
+            return Layer(text, *self.place(starts, ends))
+        return Layer(text, self.starts[starts], self.ends[ends - 1])
+
+    def key(self) -> bytes:
+        place = b"" if self.starts is None else str((self.starts, self.ends)).encode() if isinstance(self.starts, int) else self.starts.tobytes()
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass") + place).digest()
+
 
 @dataclass
 class Findings:
     base: list[tuple[int, int, str]] = field(default_factory=list)
     all: list[tuple[int, int, str]] = field(default_factory=list)
     layers: int = 0
-    cut: int = 0
 
 
 def _readable(data: bytes) -> str | None:
@@ -98,26 +123,37 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _unpacked(data: bytes, out: Findings, most: int) -> tuple[str, int] | None:
-    """What compressed ``data`` holds, and how many of its bytes that takes."""
+def _unpacked(data: bytes, chunk: int) -> tuple[Iterator[str], int] | None:
+    """What compressed ``data`` holds, in overlapping chunks, and how many of its bytes that takes."""
     if data[:2] == b"\x1f\x8b":
         mode = 31
     elif len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
         mode = 15
     else:
         return None
+
+    def pieces() -> Iterator[bytes]:
+        engine, rest = zlib.decompressobj(mode), data
+        while not engine.eof:
+            piece = engine.decompress(rest, chunk)
+            rest = engine.unconsumed_tail
+            if not piece and not rest:
+                raise zlib.error("the data end early")
+            yield piece
+        pieces.used = len(data) - len(engine.unused_data)
+
+    def texts() -> Iterator[str]:
+        before = b""
+        for piece in pieces():
+            yield (before + piece).decode("utf-8", "replace")
+            before = piece[-min(OVERLAP, chunk // 2) :]
+
     try:
-        engine = zlib.decompressobj(mode)
-        plain = engine.decompress(data, most)
-        out.cut += bool(engine.unconsumed_tail)
-        return (plain.decode("utf-8", "replace"), len(data) - len(engine.unused_data)) if engine.eof or engine.unconsumed_tail else None
+        for _ in pieces():  # once for its length, and to know that it is whole
+            pass
     except zlib.error:
         return None
-
-
-def _inflated(data: bytes, out: Findings, most: int) -> str | None:
-    found = _unpacked(data, out, most)
-    return found and found[0]
+    return texts(), pieces.used
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -141,27 +177,29 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     parts.append(text[at:])
     keep = np.arange(at, len(text))
     s, e = np.concatenate([*starts, keep]).astype(np.int64), np.concatenate([*ends, keep + 1]).astype(np.int64)
-    if layer.starts is not None:
-        s, e = layer.starts[s], layer.ends[e - 1]
-    return Layer("".join(parts), s, e)
+    return layer.within("".join(parts), s, e)
 
 
-def _url(out: Findings, most: int):
-    def decode(run: str):
-        data = bytes.fromhex(run.replace("%", ""))
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            plain = _inflated(data, out, most)
-            return None if plain is None else [(plain, 0, len(run))]
-        made, at = [], 0
-        for c in text:
-            n = 3 * len(c.encode())
-            made.append((c, at, at + n))
-            at += n
-        return made
+def _url(run: str):
+    try:
+        text = bytes.fromhex(run.replace("%", "")).decode()
+    except UnicodeDecodeError:
+        return None
+    made, at = [], 0
+    for c in text:
+        n = 3 * len(c.encode())
+        made.append((c, at, at + n))
+        at += n
+    return made
+
 
-    return decode
+def _packed_url(layer: Layer, chunk: int) -> Iterator[Layer]:
+    """Compressed bytes in URL escapes."""
+    for m in _URL.finditer(layer.text):
+        found = _unpacked(bytes.fromhex(m[0].replace("%", "")), chunk) if len(m[0]) > 9 else None
+        if found:
+            for text in found[0]:
+                yield layer.within(text, m.start(), m.end())
 
 
 def _escapes(run: str):
@@ -214,7 +252,7 @@ def _candidates(text: str) -> Iterator[list[tuple[int, int]]]:
                         yield [x.span()]
 
 
-def _base64(layer: Layer, out: Findings, most: int) -> Iterator[Layer]:
+def _base64(layer: Layer, chunk: int) -> Iterator[Layer]:
     done = None
     for spans in _candidates(layer.text):
         start, end = spans[0][0], spans[-1][1]
@@ -227,46 +265,51 @@ def _base64(layer: Layer, out: Findings, most: int) -> Iterator[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        plain, used = _readable(data), None
+        plain, packed = _readable(data), None
         if plain is None:
-            plain, used = _unpacked(data, out, most) or (None, None)
-        if not plain:
+            packed = _unpacked(data, chunk)
+        if not plain and not packed:
             continue
         where = np.concatenate([np.arange(a, b) for a, b in spans])
-        if used is None:
-            sizes = np.fromiter((len(c.encode()) for c in plain), np.int64, len(plain))
-            last = np.cumsum(sizes)
-            s, e = where[(last - sizes) * 4 // 3], where[-(-last * 4 // 3) - 1] + 1
-        else:
-            end = end if used == len(data) else int(where[-(-used * 4 // 3) - 1]) + 1
-            s, e = np.full(len(plain), start), np.full(len(plain), end)
+        if packed and packed[1] < len(data):
+            end = int(where[-(-packed[1] * 4 // 3) - 1]) + 1
         done = bytearray(len(layer.text)) if done is None else done
         done[start:end] = b"\1" * (end - start)
-        if layer.starts is not None:
-            s, e = layer.starts[s], layer.ends[e - 1]
-        yield Layer(plain, s, e)
+        if packed:
+            for text in packed[0]:
+                yield layer.within(text, start, end)
+        else:
+            sizes = np.fromiter((len(c.encode()) for c in plain), np.int64, len(plain))
+            last = np.cumsum(sizes)
+            yield layer.within(plain, where[(last - sizes) * 4 // 3], where[-(-last * 4 // 3) - 1] + 1)
+
+
+def _unwrapped(layer: Layer, chunk: int) -> Iterator[Layer]:
+    """What one step of decoding makes of a layer."""
+    yield from _base64(layer, chunk)
+    if "%" in layer.text:
+        yield from _packed_url(layer, chunk)
+        deep = _rewritten(layer, _DEEP, lambda run: [("%25", 0, len(run))])
+        if new := deep or _rewritten(layer, _URL, _url):
+            yield new
+    if "\\" in layer.text and (new := _rewritten(layer, _ESCAPE, _escapes)):
+        yield new
 
 
-def find(text: str, most: int = MAX_LAYER) -> Findings:
+def find(text: str, chunk: int = CHUNK) -> Findings:
     """What ``text`` holds, openly (``base``) and below encodings too (``all``)."""
+    whole = Layer(text)
     out = Findings(base=scan_one(text))
-    spans, seen, work = set(out.base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, [Layer(text)]
+    spans, seen, work = set(out.base), {whole.key()}, [_unwrapped(whole, chunk)]
     while work:
-        layer = work.pop()
-        if layer.starts is not None:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif layer.text and (key := layer.key()) not in seen:
+            seen.add(key)
             out.layers += 1
             spans |= {(*layer.place(a, b), kind) for a, b, kind in scan_one(layer.text)}
-        made = list(_base64(layer, out, most))
-        if "%" in layer.text:
-            made.append(_rewritten(layer, _URL, _url(out, most)))
-        if "\\" in layer.text:
-            made.append(_rewritten(layer, _ESCAPE, _escapes))
-        for new in made:
-            if new is not None and new.text:
-                key = hashlib.sha256(new.text.encode("utf-8", "surrogatepass") + (b"" if new.starts is None else new.starts.tobytes())).digest()
-                if key not in seen:
-                    seen.add(key)
-                    work.append(new)
+            work.append(_unwrapped(layer, chunk))
     out.all = sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return out
 
@@ -278,18 +321,18 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 SPANS = "array<struct<start:long,end:long,kind:string>>"
 
 
-def scan(docs: DataFrame, most: int = MAX_LAYER) -> DataFrame:
-    """Per row: ``doc_id``, ``base`` and ``spans`` (code points, end exclusive), ``n_layers`` decoded and ``n_cut`` of them."""
-    schema = T.StructType.fromDDL(f"doc_id long, base {SPANS}, spans {SPANS}, n_layers long, n_cut long")
+def scan(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Per row: ``doc_id``, ``base`` and ``spans`` (code points, end exclusive), and ``n_layers`` decoded."""
+    schema = T.StructType.fromDDL(f"doc_id long, base {SPANS}, spans {SPANS}, n_layers long")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in slices(batches, "text"):
-            found = [find(t or "", most) for t in column(batch, "text").to_pylist()]
+            found = [find(t or "", chunk) for t in column(batch, "text").to_pylist()]
             rows = lambda name: pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in getattr(f, name)] for f in found], kind)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), rows("base"), rows("all"), pa.array([f.layers for f in found], pa.int64()), pa.array([f.cut for f in found], pa.int64())], ["doc_id", "base", "spans", "n_layers", "n_cut"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), rows("base"), rows("all"), pa.array([f.layers for f in found], pa.int64())], ["doc_id", "base", "spans", "n_layers"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -298,10 +341,10 @@ def digest(found: DataFrame) -> DataFrame:
     """The counts and joined spans of ``scan``."""
     text = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), "n_layers", "n_cut")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), "n_layers")
 
 
-def redact(docs: DataFrame, most: int = MAX_LAYER) -> DataFrame:
+def redact(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``[kind]``; ``n_chars``, if there, follows the text.
 
     Of spans that overlap, the first names the replacement of their union. A
@@ -310,7 +353,7 @@ def redact(docs: DataFrame, most: int = MAX_LAYER) -> DataFrame:
 
     def clean(text: str) -> str:
         parts, at = [], 0
-        for a, b, kind in find(text, most).all:
+        for a, b, kind in find(text, chunk).all:
             if a >= at:
                 parts += [text[at:a], f"[{kind}]"]
             at = max(at, b)

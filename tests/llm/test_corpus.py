@@ -463,3 +463,23 @@ def test_empty_tables(spark, empty):
 def test_line_ends_between_inline_elements_are_white_space():
     assert template.main_text("<p><b>A</b>\n<i>B</i> tail</p>\n<p>next</p>", None) == "A B tail\nnext"
     assert template.main_text("<div>a\n\n<span>\n</span>b<br>c</div>", None) == "a b\nc"
+
+
+def test_secrets_in_large_compressed_layers():
+    filler = "".join(chr(97 + (i * i) % 26) for i in range(1 << 16))
+    secret = "password=hunter2hunter2"
+    for at in (0, 30_000, 65_535):
+        text = "x " + base64.b64encode(zlib.compress((filler[:at] + " " + secret + " " + filler[at:]).encode())).decode() + " y"
+        for chunk in (1 << 10, 1 << 14, 1 << 23):
+            assert secretscan.find(text, chunk).all == [(2, len(text) - 2, "assign")]
+    # a compressed layer in a compressed one, and half a gigabyte of zeros
+    inner = base64.b64encode(gzip.compress(secret.encode()))
+    text = base64.b64encode(zlib.compress(filler.encode() + b"\n" + inner + b"\n" + filler.encode())).decode()
+    assert [k for *_, k in secretscan.find(text, 1 << 15).all] == ["assign"]
+    assert secretscan.find(base64.b64encode(zlib.compress(bytes(1 << 26) + b" " + secret.encode())).decode()).all
+
+
+def test_chains_of_escapes_end_soon():
+    found = secretscan.find("password%" + "25" * 3000 + "3Dhunter2hunter2")
+    assert found.layers <= 4 and (0, 6025, "assign") in found.all
+    assert secretscan.find("token%25253Dabcdef1").all == [(0, 19, "assign")]
