@@ -8,19 +8,25 @@ window. An item of that partition that is contained to 0.8 in such a window has
 a resemblance of 0.19 or more with it, and one of ``HASHES`` min-hashes in
 common with probability 1 - 0.81 ** HASHES > 0.9999. Windows of all bounds
 share one pass: minima over blocks of the smallest bound are merged upwards.
-Candidates are verified by the exact share of the item's shingles that the
-whole document has.
-
-Items are the stated query set: they are held in blocks of ``BLOCK_ITEMS``,
-each of which is broadcast and run against all documents. Nothing is shuffled.
-
-Nulls: null and empty texts, and items with fewer than five words, contain
-nothing and are contained in nothing. Repeated rows and items are reported
-each. Other columns are ignored by ``search`` and kept by ``clean``.
+Items of up to ``SMALL`` shingles, for which the smallest bound is too wide, are
+looked up by each of their shingles instead. Candidates are verified by the
+exact share of the item's shingles that the whole document has. An item of
+fewer words than a shingle is its whole sequence, and found where that stands.
+
+Items are the stated query set: blocks of ``BLOCK_ITEMS`` are written to the
+shared folder by tasks, and each worker goes through them, one at a time, for
+each slice of its documents. So documents are read once, and nothing is shuffled.
+
+Nulls: null and empty texts and items contain nothing and are contained in
+nothing. Repeated rows and items are reported each. A very long text is held
+whole. An empty table of documents gives no rows; with an empty benchmark
+nothing is found. Other columns are ignored by ``search`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +34,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, WordHasher, column, mix, shingles, slices
+from .common import SHINGLE_WORDS, SIMILARITY, WordHasher, column, filesystem, mix, put, shared_dir, shingles, slices
 
 HASHES = 48
 LEAST_BOUND = 16
+#: Shingles of an item up to which each of them is looked up.
+SMALL = 8
 #: Items of a block: at most 20,000, or as many as have a million words.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
-SLICE = 2 << 20
+#: Bytes of text that a worker holds against a block of items: the more blocks, the more.
+SLICE, MOST_SLICE = 2 << 20, 16 << 20
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -47,6 +56,16 @@ class Items:
     sets: list[np.ndarray]
     #: bound -> (min-hashes sorted, their items) for each hash function
     tables: dict[int, list[tuple[np.ndarray, np.ndarray]]]
+    #: shingles of small items, sorted, and their items
+    small: tuple[np.ndarray, np.ndarray]
+    #: number of words -> (hashes of whole items of so many, sorted, and the items)
+    whole: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _table(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    values, members = np.array([v for v, _ in pairs], np.uint64), np.array([m for _, m in pairs], np.int64)
+    order = np.argsort(values, kind="stable")
+    return values[order], members[order]
 
 
 def block(rows: list[tuple]) -> Items:
@@ -57,15 +76,33 @@ def block(rows: list[tuple]) -> Items:
     found, at = shingles(hashes, offsets, whole=False)
     sets = [np.unique(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     bounds: dict[int, list[int]] = {}
+    short: dict[int, list[tuple[int, int]]] = {}
+    small: list[tuple[int, int]] = []
     for i, s in enumerate(sets):
-        if len(s):
+        n = int(offsets[i + 1] - offsets[i])
+        if len(s) > SMALL:
             bounds.setdefault(max(LEAST_BOUND, 1 << (len(s) - 1).bit_length()), []).append(i)
+        elif len(s):
+            small += [(v, i) for v in s.tolist()]
+        elif n:
+            short.setdefault(n, []).append((int(shingles(hashes[offsets[i] : offsets[i + 1]], np.array([0, n]), n)[0][0]), i))
     tables = {}
     for bound, members in bounds.items():
         signature = np.array([[_hashed(sets[i], k).min() for k in range(HASHES)] for i in members], np.uint64)
         order = np.argsort(signature, axis=0, kind="stable")
         tables[bound] = [(signature[order[:, k], k], np.array(members)[order[:, k]]) for k in range(HASHES)]
-    return Items([i for i, _ in rows], sets, tables)
+    return Items([i for i, _ in rows], sets, tables, _table(small), {n: _table(pairs) for n, pairs in short.items()})
+
+
+def _looked_up(found: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
+    """(text, item) pairs with a hash in common."""
+    values, members = table
+    if not len(values) or not len(found):
+        return set()
+    known = np.flatnonzero(values[np.minimum(np.searchsorted(values, found), len(values) - 1)] == found)
+    text = np.searchsorted(at, known, "right") - 1
+    lo, hi = np.searchsorted(values, found[known], "left"), np.searchsorted(values, found[known], "right")
+    return {(int(t), int(m)) for t, a, b in zip(text, lo, hi, strict=True) for m in members[a:b]}
 
 
 def _hashed(x: np.ndarray, k: int) -> np.ndarray:
@@ -74,7 +111,7 @@ def _hashed(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def candidates(found: np.ndarray, at: np.ndarray, items: Items) -> set[tuple[int, int]]:
-    """(text, item) pairs with a window and an item that share a min-hash."""
+    """(text, item) pairs with a window and an item that share a min-hash, or a small item's shingle."""
     counts = np.diff(at)
     n_blocks = -(-counts // LEAST_BOUND)
     first = np.concatenate(([0], np.cumsum(n_blocks)))
@@ -82,7 +119,9 @@ def candidates(found: np.ndarray, at: np.ndarray, items: Items) -> set[tuple[int
         return set()
     owner = np.repeat(np.arange(len(counts)), n_blocks)
     edges = at[owner] + (np.arange(first[-1]) - first[owner]) * LEAST_BOUND
-    pairs: set[tuple[int, int]] = set()
+    pairs = _looked_up(found, at, items.small)
+    if not items.tables:
+        return pairs
     top = max(items.tables)
     for k in range(HASHES):
         minima, owners, bound = np.minimum.reduceat(_hashed(found, k), edges), owner, LEAST_BOUND
@@ -108,9 +147,9 @@ def matches(texts, items: Items, least: float = SIMILARITY, hasher: WordHasher |
     """(text, item, containment) of an Arrow string column against a block, ``least`` or more."""
     hashes, offsets, _, _ = (hasher or WordHasher()).words(texts)
     found, at = shingles(hashes, offsets, whole=False)
-    if not items.tables or not len(found):
-        return []
     out, last, own = [], -1, None
+    for n, table in items.whole.items():
+        out += [(t, i, 1.0) for t, i in _looked_up(*shingles(hashes, offsets, n, whole=False), table)]
     for text, item in sorted(candidates(found, at, items)):
         if text != last:
             own, last = np.unique(found[at[text] : at[text + 1]]), text
@@ -122,57 +161,91 @@ def matches(texts, items: Items, least: float = SIMILARITY, hasher: WordHasher |
     return out
 
 
-def blocks(benchmark: DataFrame, words: int = BLOCK_WORDS, items: int = BLOCK_ITEMS) -> Iterator[Items]:
-    """The benchmark in blocks that fit a worker, one at a time."""
-    rows: list[tuple] = []
-    size = 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        rows.append((r.item_id, r.text))
-        size += len((r.text or "").split())
-        if len(rows) >= items or size >= words:
-            yield block(rows)
-            rows, size = [], 0
-    if rows:
-        yield block(rows)
+def blocks(benchmark: DataFrame) -> list[str]:
+    """Writes the benchmark in blocks that fit a worker, and returns their files."""
+    spark, words, items = benchmark.sparkSession, BLOCK_WORDS, BLOCK_ITEMS
+    folder = shared_dir(spark)
+    rows = benchmark.select(F.col("item_id").cast("long"), "text")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()
+    parts = max(1, -(-n // items), -(-size // words))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        held: list[tuple] = []
+        size, names = 0, []
+
+        def flush():
+            name = f"items-{uuid.uuid4().hex}"
+            put(folder, name, np.frombuffer(pickle.dumps(block(held)), np.uint8))
+            names.append(name)
+            held.clear()
+
+        for batch in slices(batches, "text"):
+            for row in zip(column(batch, "item_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+                held.append(row)
+                size += len((row[1] or "").split())
+                if len(held) >= items or size >= words:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    written = rows.repartition(parts, F.xxhash64("item_id", "text")).mapInArrow(run, "name string")
+    return [f"{folder}/{r.name}" for r in written.collect()]  # a name for each block
+
+
+def _opened(files: list[str]):
+    """Gives the blocks in turn; a single one is kept."""
+    kept: list[Items] = []
+
+    def turn() -> Iterator[Items]:
+        if kept:
+            yield from kept
+            return
+        for path in files:
+            system, base = filesystem(path)
+            with system.open_input_stream(base) as f:
+                items = pickle.loads(f.read())
+            if len(files) == 1:
+                kept.append(items)
+            yield items
+
+    return turn
 
 
 def search(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``item_id`` and ``containment`` of every item found in a document."""
-    spark = docs.sparkSession
-    schema, out = "doc_id long, item_id long, containment double", None
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    files = blocks(benchmark)
 
-        def run(batches, shared=shared) -> Iterator:
-            import pyarrow as pa
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-            hasher = WordHasher()
-            for batch in slices(batches, "text", SLICE):
-                found = matches(column(batch, "text"), shared.value, least, hasher)
+        hasher, turn = WordHasher(), _opened(files)
+        for batch in slices(batches, "text", min(SLICE * max(1, len(files)), MOST_SLICE)):
+            ids = column(batch, "doc_id").to_pylist()
+            for items in turn():
+                found = matches(column(batch, "text"), items, least, hasher)
                 if found:
-                    ids, names = column(batch, "doc_id").to_pylist(), shared.value.ids
-                    rows = [(ids[t], names[i], s) for t, i, s in found]
+                    rows = [(ids[t], items.ids[i], s) for t, i, s in found]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "containment"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, containment double")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that contain an item."""
-    spark = docs.sparkSession
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    files = blocks(benchmark)
 
-        def run(batches, shared=shared) -> Iterator:
-            import pyarrow as pa
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-            hasher = WordHasher()
-            for batch in slices(batches, "text", SLICE):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[t for t, _, _ in matches(column(batch, "text"), shared.value, least, hasher)]] = False
-                yield batch.filter(pa.array(keep))
+        hasher, turn = WordHasher(), _opened(files)
+        for batch in slices(batches, "text", min(SLICE * max(1, len(files)), MOST_SLICE)):
+            keep = np.ones(batch.num_rows, bool)
+            for items in turn():
+                keep[[t for t, _, _ in matches(column(batch, "text"), items, least, hasher)]] = False
+            yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

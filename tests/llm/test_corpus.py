@@ -329,17 +329,25 @@ def test_resampling(spark):
     assert [resampling.kth_largest(values, "x", k) for k in (1, 58, 400)] == [sorted((float(d % 7) for d, _ in rows if d is not None), reverse=True)[k - 1] for k in (1, 58, 400)]
 
 
-def test_containment(spark, docs):
+@pytest.mark.parametrize("block", [7, 20_000])
+def test_containment(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(containment, "BLOCK_ITEMS", block)
     rng = random.Random(2)
     rows = [(d, words(t)) for d, t in docs.select("doc_id", "text").collect()]
     items = [(k, " ".join(x.decode() for x in w[a : a + rng.randint(5, 60)])) for k, (_, w) in enumerate(rows) if len(w) > 30 for a in [rng.randrange(len(w) - 20)]]
-    items += [(1000, None), (1001, "one two"), (1002, "never seen words in any of these texts")]
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    items += [(1000, None), (1001, "one two"), (1002, "never seen words in any of these texts"), (1003, ""), (1004, "one")]
+    for k, (_, w) in enumerate(rows[:60]):  # items of one to eight words
+        n = 1 + k % 8
+        if len(w) > 40:
+            a = rng.randrange(len(w) - n)
+            items.append((2000 + k, b" ".join(w[a : a + n]).decode()))
+    items.append(items[-1])
+    grams = lambda w, n=5: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     want = collections.Counter()
     for d, w in rows:
-        own = grams(w)
         for k, t in items:
-            s = grams(words(t))
+            n = min(5, len(words(t)))
+            s, own = grams(words(t), n) if n else set(), grams(w, n)
             if s and len(s & own) >= 0.8 * len(s):
                 want[d, k, round(len(s & own) / len(s), 9)] += 1
     benchmark = spark.createDataFrame(items, "item_id long, text string")
