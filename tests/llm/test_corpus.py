@@ -491,3 +491,27 @@ def test_chains_of_escapes_end_soon():
     found = secretscan.find("password%" + "25" * 3000 + "3Dhunter2hunter2")
     assert found.layers <= 4 and (0, 6025, "assign") in found.all
     assert secretscan.find("token%25253Dabcdef1").all == [(0, 19, "assign")]
+
+
+def test_weights_of_resampling(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(40) // (1 + i % 3)}" for _ in range(rng.randint(0, 60)))) for i in range(90)] + [(90, None), (91, "only unseen words here")]
+    labels = [(i, i % 2, int(i % 10 == 3)) for i in range(0, 60)]
+    good = {i for i, q, t in labels if q and not t}
+    marked = resampling.labelled(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r.label_doc_id for r in marked if r.mark > 0} == good
+    trained = {r.label_doc_id for r in marked if r.mark == 1}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(words(t))
+        target.update(words(t) if i in trained else ())
+    share, smooth = sum(target.values()) / sum(raw.values()), resampling.SMOOTHING
+    ratio = {w: math.log((target[w] + smooth) / (n * share + smooth)) for w, n in raw.items()}
+    got = {r.doc_id: r for r in resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for i, t in rows:
+        want = sum(ratio[w] for w in words(t)) if words(t) else None
+        assert got[i].log_weight is None and not got[i].kept if want is None else math.isclose(got[i].log_weight, want, abs_tol=1e-9)
+    # the noise is Gumbel's, and the rows with the largest keys are kept
+    noise = [r.gumbel_key - r.log_weight for r in got.values() if r.log_weight is not None]
+    assert abs(np.mean(noise) - 0.577) < 0.6 and 0.6 < np.std(noise) < 2
+    assert min(r.gumbel_key for r in got.values() if r.kept) > max(r.gumbel_key for r in got.values() if r.gumbel_key is not None and not r.kept)
