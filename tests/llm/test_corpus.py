@@ -515,3 +515,34 @@ def test_weights_of_resampling(spark):
     noise = [r.gumbel_key - r.log_weight for r in got.values() if r.log_weight is not None]
     assert abs(np.mean(noise) - 0.577) < 0.6 and 0.6 < np.std(noise) < 2
     assert min(r.gumbel_key for r in got.values() if r.kept) > max(r.gumbel_key for r in got.values() if r.gumbel_key is not None and not r.kept)
+
+
+def test_all_occurrences_of_a_passage():
+    rng = np.random.default_rng(5)
+    passage, noise = rng.integers(0, 1 << 60, 80).astype(np.uint64), lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    y = np.concatenate((noise(30), passage, noise(200), passage, noise(20)))
+    assert sorted(r[2:4] for r in passages.agreeing(np.concatenate((noise(10), passage)), y)) == [(30, 110), (310, 390)]
+    twice = np.concatenate((noise(7), passage, passage, noise(5)))
+    assert {(7, 87), (87, 167)} <= {r[2:4] for r in passages.agreeing(passage, twice)}
+
+
+def test_regions_by_shift():
+    spans = [(100 * k, 100 * k + 60, 1000 * k) for k in range(12)] + [(40, 90, 3), (60, 700, 7)]
+    got = passages.joined(spans)
+    assert (0, 701, 0, 708) in got and len(got) == 12
+
+
+def test_passages_near_copies_are_found(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, pairs = [], []
+    for k in range(120):
+        passage = [word() for _ in range(rng.randint(70, 140))]
+        changed = list(passage)
+        changed[rng.randrange(len(changed))] = word()  # five of at least 66 shingles differ
+        for w in (passage, changed):
+            rows.append((len(rows), " ".join([*(word() for _ in range(rng.randint(0, 200))), *w, *(word() for _ in range(rng.randint(0, 200)))])))
+        pairs.append((2 * k, 2 * k + 1))
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= set(pairs) and len(got) >= 0.95 * len(pairs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
