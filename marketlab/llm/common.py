@@ -264,7 +264,7 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
 class Arrays:
     """Reads parts of files of 64-bit integers: mapped into memory where the folder is mounted, else by position."""
 
-    def __init__(self, folder: str, most: int = 64):
+    def __init__(self, folder: str, most: int = 256):
         self.files, self.base = filesystem(folder)
         self.open, self.most = {}, most
 

@@ -330,8 +330,8 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def stored(docs: DataFrame, wanted: DataFrame, folder: str, save) -> DataFrame:
-    """Writes the sets of the nodes in ``wanted`` (``node``, ``key``) to files, and returns where each is (``node``, ``file``, ``at``, ``size``)."""
+def stored(docs: DataFrame, wanted: DataFrame, folder: str, save, arrays=_sets) -> DataFrame:
+    """Writes the sets (or what else ``arrays`` makes) of the nodes in ``wanted`` (``node``, ``key``) to files, and returns where each is (``node``, ``file``, ``at``, ``size``)."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches) -> Iterator:
@@ -340,7 +340,7 @@ def stored(docs: DataFrame, wanted: DataFrame, folder: str, save) -> DataFrame:
         hasher, kept, found, total = WordHasher(), [], {}, 0
 
         def flush():
-            name = f"sets-{uuid.uuid4().hex}"
+            name = uuid.uuid4().hex[:16]
             put(folder, name, np.concatenate(kept))
             size = np.array([len(k) for k in kept], np.int64)
             columns = [pa.array(list(found), pa.int64()), pa.array([name] * len(size)), pa.array(np.cumsum(size) - size), pa.array(size)]
@@ -350,7 +350,7 @@ def stored(docs: DataFrame, wanted: DataFrame, folder: str, save) -> DataFrame:
             bit = column(batch, "bit").to_numpy()
             batch = batch.filter(pa.array((bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for part in slices([batch], "text", SLICE):
-                for own in _sets(part, hasher):
+                for own in arrays(part, hasher):
                     if len(own) and (node := node_of(own)) not in found:
                         found[node] = None
                         kept.append(own)
