@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import containment, jaccard, kneser, outliers, packing, passages, resampling, secretscan, surrogates, template
 from .common import read
 
+SURROGATE_KEY = "spark.marketlab.surrogateKey"
+
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -21,7 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    """Surrogates by the key in the session's setting ``SURROGATE_KEY``, or else by one that is drawn for this run."""
+    key = spark.conf.get(SURROGATE_KEY, None)
+    key = key.encode() if key else secrets.token_bytes(32)
+    return surrogates.replace(read(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def test_compact_windows_cover_each_subsequence_once():
 def test_surrogates(spark):
     text = "Mr. John Smith (john.smith@mail.example.com, +1 (743) 555-3824) met Maria Weber; John Smith paid with 4111 1111 1111 1111 from 10.0.0.7."
     rows = [(1, text), (2, "mail JOHN.SMITH@MAIL.EXAMPLE.COM and Maria Weber"), (3, None), (4, ""), (5, "nothing here 12")]
-    out = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_entities", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(7))).collect()}
+    out = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_entities", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(7)), b"a key").collect()}
     new = out[1].text
     for piece in ("John Smith", "john.smith", "555-3824", "4111 1111", "10.0.0.7", "Maria Weber"):
         assert piece not in new
@@ -179,7 +179,7 @@ def test_surrogates(spark):
     assert mail.upper() in out[2].text and first.split("met ")[1] in out[2].text
     assert out[3].text is None and out[4].text == "" and out[5].text == "nothing here 12" and out[5].n_entities == 0
     values = [f"47853805923{i:05d}" for i in range(500)]
-    assert len({surrogates.surrogate("card", v) for v in values}) == len(values)
+    assert len({surrogates.surrogate("card", v, b"a key") for v in values}) == len(values)
     assert sorted(surrogates.permuted(i, 37, b"k", "t") for i in range(37)) == list(range(37))
 
 
@@ -462,7 +462,7 @@ def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     benchmark = spark.createDataFrame([], "item_id long, text string")
     for made in (
-        kneser.train_and_score(empty), passages.find(empty), surrogates.replace(empty), outliers.judge(empty), jaccard.join(empty), resampling.resample(empty, labels),
+        kneser.train_and_score(empty), passages.find(empty), surrogates.replace(empty, b"a key"), outliers.judge(empty), jaccard.join(empty), resampling.resample(empty, labels),
         containment.search(empty, benchmark), containment.clean(empty, benchmark), secretscan.scan(empty), packing.pack(empty), template.extract(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
         assert made.count() == 0
@@ -546,3 +546,34 @@ def test_passages_near_copies_are_found(spark):
     got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got <= set(pairs) and len(got) >= 0.95 * len(pairs)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_surrogates_of_one_person():
+    none = lambda kind, value: 0
+    new = lambda text: surrogates.rewritten(text, none, b"a key")[0]
+    text = new("Mr. Smith met John Smith. Smith said hi. John left. Dr. Priya Raman and Mrs John Smith stay.")
+    words_ = text.replace(".", "").split()
+    assert words_[1] == words_[4] == words_[5] == words_[-2] and words_[3] == words_[8] == words_[-3]
+    assert not {"Smith", "John", "Priya", "Raman"} & set(words_) and len(words_[words_.index("Dr") + 1]) == 5
+    shape = new("Frau Müller-Lüdenscheidt")[5:]
+    assert len(shape) == 19 and shape[6] == "-" and shape[1] in "äöü" and shape[7].isupper() and shape != "Müller-Lüdenscheidt"
+    assert new("Mr Белова-Орлова").isprintable() and new("call +49 30 123456").startswith("call +49 ") and new("call +1 415 555 0100").startswith("call +1 ")
+    assert new("a smith and john, Smith Street") == "a smith and john, Smith Street"
+    assert new("Maria Weber") != surrogates.rewritten("Maria Weber", none, b"another")[0]
+
+
+def test_surrogates_stay_apart(spark, monkeypatch):
+    # a format of which all values occur, one of which half do, names of one shape, and cards
+    values = [("ssn", f"{i // 10**6:03d}{i // 10**4 % 100:02d}{i % 10**4:04d}") for i in range(300)]
+    values += [("mail", f"{c}{d}@x.org") for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10)]
+    values += [("mail", f"{c}@y.org") for c in "abcdefghijklm"]
+    values += [("family", n) for n in [*surrogates.NAMES["latin", "family"], "Bab", "Beb", "Dud", "Kik"]] + [("phone", f"+4930{i:03d}") for i in range(990)]
+    found = spark.createDataFrame([(k, v, surrogates.surrogate(k, v, b"a key")) for k, v in values], "kind string, value string, surrogate string")
+    for rounds in (1, 8):
+        state = surrogates.collisions(found, b"a key", rounds=rounds).collect()
+        assert len(state) == len(values) == len({(r.kind, r.surrogate) for r in state})
+        assert all(r.surrogate == surrogates.surrogate(r.kind, r.value, b"a key", r.turn) for r in state)
+    own = {v for k, v in values if k == "ssn"}
+    assert not own & {r.surrogate for r in state if r.kind == "ssn"}
+    turns = surrogates.Turns.write(spark.createDataFrame(state))
+    assert any(r.turn for r in state) and all(turns(r.kind, r.value) == r.turn for r in state) and turns("ssn", "none") == 0
