@@ -72,60 +72,41 @@ def unbalanced(equity: DataFrame, exposures_: DataFrame, start: float) -> DataFr
 def round_trips(fills: DataFrame, calendar: DataFrame, last_prices: DataFrame) -> DataFrame:
     """Trades from flat to flat; a fill through zero ends one and begins another, sharing its commission by quantity.
 
-    Open trades are marked at ``last_prices`` (``symbol``, ``last_close``); bars are counted on ``calendar``.
+    Open trades are marked at ``last_prices`` (``symbol``, ``last_close``); bars
+    are counted on ``calendar``. What a trade earns is what left it, and what it
+    still holds at the last price, less what entered it, so no cost is carried
+    from fill to fill: windows number the trades, and a sum by trade is all.
     """
-
-    def trips(rows):
-        import pandas as pd
-
-        out, trip = [], None
-
-        def closed(at):
-            out.append({**trip, "exit_time": at})
-
-        for f in rows.sort_values("seq").itertuples(index=False):
-            left, fee = f.quantity, f.commission
-            while abs(left) > FLAT:
-                if trip is None:
-                    trip = {"side": 1 if left > 0 else -1, "entry_time": f.ts, "held": 0.0, "top": 0.0, "in_qty": 0.0, "in_value": 0.0, "out_qty": 0.0, "out_value": 0.0, "cost": 0.0, "pnl": 0.0, "commission": 0.0}
-                if (left > 0) == (trip["side"] > 0):
-                    q = abs(left)
-                    trip["cost"] = (trip["held"] * trip["cost"] + q * f.price) / (trip["held"] + q)
-                    trip["held"] += q
-                    trip["top"] = max(trip["top"], trip["held"])
-                    trip["in_qty"] += q
-                    trip["in_value"] += q * f.price
-                else:
-                    q = min(abs(left), trip["held"])
-                    trip["pnl"] += (f.price - trip["cost"]) * q * trip["side"]
-                    trip["held"] -= q
-                    trip["out_qty"] += q
-                    trip["out_value"] += q * f.price
-                trip["commission"] += fee * q / abs(f.quantity)
-                left -= q if left > 0 else -q
-                if trip["held"] <= FLAT:
-                    closed(f.ts)
-                    trip = None
-        if trip is not None:
-            closed(None)
-        done = pd.DataFrame(out)
-        if done.empty:
-            return pd.DataFrame({c: [] for c in names})
-        done["run_id"], done["symbol"] = rows["run_id"].iloc[0], rows["symbol"].iloc[0]
-        done["exit_time"] = pd.to_datetime(done["exit_time"])
-        done["quantity"], done["entry_price"] = done["top"], done["in_value"] / done["in_qty"]
-        done["exit_price"] = (done["out_value"] / done["out_qty"]).where(done["out_qty"] > 0)
-        return done[names]
-
-    names = ["run_id", "symbol", "side", "entry_time", "exit_time", "quantity", "entry_price", "exit_price", "pnl", "commission", "held", "cost", "in_value"]
-    kind = fills.schema["run_id"].dataType.simpleString()
-    schema = f"run_id {kind}, symbol string, side int, entry_time timestamp_ntz, exit_time timestamp_ntz, quantity double, entry_price double, exit_price double, pnl double, commission double, held double, cost double, in_value double"
-    raw = fills.select("run_id", "symbol", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "quantity", "price", "commission").groupBy("run_id", "symbol").applyInPandas(trips, schema)
+    line = W.partitionBy("run_id", "symbol").orderBy("seq")
+    own = fills.select("run_id", "symbol", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "quantity", "price", "commission").filter("quantity <> 0")
+    total = F.sum("quantity").over(line.rowsBetween(W.unboundedPreceding, 0))
+    own = own.withColumn("after", F.when(F.abs(total) > FLAT, total).otherwise(0.0))
+    own = own.withColumn("before", F.coalesce(F.lag("after").over(line), F.lit(0.0)))
+    piece = lambda k, q, start: F.struct(F.lit(k).alias("k"), q.alias("q"), start.alias("start"))
+    through = F.col("before") * F.col("after") < 0
+    whole = F.array(piece(0, F.col("quantity"), F.col("before") == 0))
+    split = F.array(piece(0, -F.col("before"), F.lit(False)), piece(1, F.col("after"), F.lit(True)))
+    pieces = own.select("*", F.explode(F.when(through, split).otherwise(whole)).alias("p")).select(
+        "run_id", "symbol", "seq", "ts", "price", "p.*", (F.col("commission") * F.abs(F.col("p.q") / F.col("quantity"))).alias("commission"),
+        F.when(through & (F.col("p.k") == 0), 0.0).otherwise(F.col("after")).alias("held"),
+    )
+    order = W.partitionBy("run_id", "symbol").orderBy("seq", "k").rowsBetween(W.unboundedPreceding, 0)
+    numbered = pieces.withColumn("trip", F.sum(F.col("start").cast("long")).over(order))
+    side = F.signum(F.min_by("q", F.struct("seq", "k")))
+    numbered = numbered.withColumn("enters", F.signum("q") == F.signum(F.first("q").over(W.partitionBy("run_id", "symbol", "trip").orderBy("seq", "k"))))
+    size, value = F.abs("q"), F.abs("q") * F.col("price")
+    raw = numbered.groupBy("run_id", "symbol", "trip").agg(
+        side.cast("int").alias("side"), F.min("ts").alias("entry_time"), F.max_by(F.struct("ts", "held"), F.struct("seq", "k")).alias("end"), F.max(F.abs("held")).alias("quantity"),
+        F.sum(F.when(F.col("enters"), size)).alias("in_qty"), F.sum(F.when(F.col("enters"), value)).alias("in_value"), F.sum(F.when(~F.col("enters"), size)).alias("out_qty"),
+        F.coalesce(F.sum(F.when(~F.col("enters"), value)), F.lit(0.0)).alias("out_value"), F.sum("commission").alias("commission"),
+    )
+    held = F.abs("end.held")
+    raw = raw.select("run_id", "symbol", "side", "entry_time", F.when(held == 0, F.col("end.ts")).alias("exit_time"), "quantity", (F.col("in_value") / F.col("in_qty")).alias("entry_price"), F.try_divide("out_value", "out_qty").alias("exit_price"), "commission", held.alias("held"), "in_value", "out_value")
     end = calendar.agg(F.max("pos").alias("last_pos"))
     at = calendar.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "pos")
     dated = raw.join(at.withColumnsRenamed({"ts": "entry_time", "pos": "entry_pos"}), "entry_time", "left").join(at.withColumnsRenamed({"ts": "exit_time", "pos": "exit_pos"}), "exit_time", "left").join(last_prices.select("symbol", "last_close"), "symbol", "left").crossJoin(F.broadcast(end))
     is_open = F.col("exit_time").isNull()
-    pnl = F.col("pnl") + F.when(is_open, F.coalesce((F.col("last_close") - F.col("cost")) * F.col("held") * F.col("side"), F.lit(0.0))).otherwise(0.0)
+    pnl = F.col("side") * (F.col("out_value") + F.col("held") * F.coalesce("last_close", F.col("entry_price")) - F.col("in_value"))
     net = pnl - F.col("commission")
     return dated.select(
         "run_id", "symbol", F.when(F.col("side") > 0, "long").otherwise("short").alias("direction"), F.when(is_open, "open").otherwise("closed").alias("status"), "entry_time", "exit_time", "quantity", "entry_price", "exit_price",

@@ -345,12 +345,12 @@ def returns_simple(s, d):
     return metrics.returns(sma_equity(s, d)).select("pos", F.round("r", 8).alias("r"))
 
 
-_CURVE = f"""{E_PANEL}, run as (select symbol as run_id, pos, ts, last_close as equity from p)"""
+_CURVE = f"""{E_PANEL}, run as (select symbol as run_id, pos, ts, last_close as equity, last_close*(pos%3)/2.0 as gross from p)"""
 
 
 def curves(s: SparkSession, d: str) -> DataFrame:
     """Each symbol's closes as the curve of a run: the metrics' input."""
-    return events_panel(s, d).select(F.col("symbol").alias("run_id"), "pos", "ts", F.col("last_close").alias("equity"), F.col("last_close").alias("gross"), F.lit(1.0).alias("traded"))
+    return events_panel(s, d).select(F.col("symbol").alias("run_id"), "pos", "ts", F.col("last_close").alias("equity"), (F.col("last_close") * (F.col("pos") % 3) / 2.0).alias("gross"), F.lit(1.0).alias("traded"))
 
 
 _RETURNS = f"{_CURVE}, m as (select run_id, pos, ts, equity/lag(equity) over (partition by run_id order by pos)-1 as r from run), ret as (select * from m where r is not null)"
@@ -368,9 +368,9 @@ def dd_duration(s, d):
     return metrics.longest_drawdown(curves(s, d)).select("run_id", "duration")
 
 
-@query(f"""{_RETURNS}, {_DRAW}, {_ISLAND}, e as (select run_id, first(equity order by pos) as f, last(equity order by pos) as l, count(*) as n, avg(equity) as me from run group by 1),
+@query(f"""{_RETURNS}, {_DRAW}, {_ISLAND}, e as (select run_id, first(equity order by pos) as f, last(equity order by pos) as l, count(*) as n, avg(equity) as me, avg(gross/equity) as ex, avg((gross>0)::int) as im from run group by 1),
 q as (select run_id, stddev_samp(r) as sd, avg(r) as mr, sqrt(avg(least(r,0)^2)) as dn from ret group by 1), x as (select run_id, max(1-equity/peak) as mdd from dd group by 1)
-select run_id, round(l/f-1,6) as total_return, round((l/f)^(252.0/(n-1))-1,4) as cagr, round(sd*sqrt(252),6) as volatility, round(mr/sd*sqrt(252),6) as sharpe, round(mr/dn*sqrt(252),6) as sortino, round(mdd,6) as max_drawdown, duration::bigint as drawdown_duration, round(n/me/((n-1)/252.0),6) as turnover, 1.0 as exposure, 1.0 as time_in_market from e join q using(run_id) join x using (run_id) join dur using (run_id)""")
+select run_id, round(l/f-1,6) as total_return, round((l/f)^(252.0/(n-1))-1,4) as cagr, round(sd*sqrt(252),6) as volatility, round(mr/sd*sqrt(252),6) as sharpe, round(mr/dn*sqrt(252),6) as sortino, round(mdd,6) as max_drawdown, duration::bigint as drawdown_duration, round(n/me/((n-1)/252.0),6) as turnover, round(ex,6) as exposure, round(im,6) as time_in_market from e join q using(run_id) join x using (run_id) join dur using (run_id)""")
 def metrics_all(s, d):
     m = metrics.summary(curves(s, d))
     return m.select("run_id", r6("total_return").alias("total_return"), F.round("cagr", 4).alias("cagr"), *[r6(c).alias(c) for c in ("volatility", "sharpe", "sortino", "max_drawdown")], "drawdown_duration", r6("turnover").alias("turnover"), r6("exposure").alias("exposure"), r6("time_in_market").alias("time_in_market"))
@@ -489,17 +489,37 @@ def kill_switch_detect(s, d):
     return ledger.kill_switch(curves(s, d), 0.05).select("run_id", "pos")
 
 
-@query()
-def round_trips(s, d):
+_TRIPS = f"""{E_PANEL}, {_FILLS}, fa as (select run_id, seq, date_trunc('day', ts)::timestamp as ts, symbol, quantity, price, commission, sum(quantity) over (partition by run_id, symbol order by seq rows unbounded preceding) as aft from fl), fb as (select *, aft-quantity as bef from fa),
+pc as (select run_id, symbol, seq, ts, price, 0 as k, case when bef*aft<0 then -bef else quantity end as q, bef*aft>=0 and bef=0 as st, commission*abs(case when bef*aft<0 then bef else quantity end/quantity) as fee, case when bef*aft<0 then 0 else aft end as held from fb
+ union all select run_id, symbol, seq, ts, price, 1, aft, true, commission*abs(aft/quantity), aft from fb where bef*aft<0),
+nu as (select *, sum(st::int) over (partition by run_id, symbol order by seq, k rows unbounded preceding) as trip from pc), nq as (select *, first_value(q) over (partition by run_id, symbol, trip order by seq, k) as q0 from nu),
+tg as (select run_id, symbol, trip, sign(any_value(q0)) as side, min(ts) as entry_time, last(ts order by seq, k) as last_ts, abs(last(held order by seq, k)) as held, max(abs(held)) as quantity, sum(abs(q)) filter (sign(q)=sign(q0)) as iq, sum(abs(q)*price) filter (sign(q)=sign(q0)) as iv, sum(abs(q)) filter (sign(q)<>sign(q0)) as oq, coalesce(sum(abs(q)*price) filter (sign(q)<>sign(q0)),0) as ov, sum(fee) as commission from nq group by 1,2,3),
+lp as (select symbol, last(last_close order by pos) as lc from p group by 1), tt as (select *, case when held=0 then last_ts end as exit_time, side*(ov+held*lc-iv) as pnl from tg join lp using (symbol)),
+trips as (select run_id, symbol, case when side>0 then 'long' else 'short' end as direction, case when held>0 then 'open' else 'closed' end as status, entry_time, exit_time, quantity, iv/iq as entry_price, ov/oq as exit_price, pnl, commission, pnl-commission as net_pnl, (pnl-commission)/iv as ret, coalesce(x.pos, (select max(pos) from cal))-e.pos as bars_held from tt join cal e on e.ts=entry_time left join cal x on x.ts=exit_time)"""
+
+
+def demo_trips(s: SparkSession, d: str) -> DataFrame:
     p = B.panel(events_bars(s, d))
     daily = demo_fills(s, d).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     last = p.groupBy("symbol").agg(F.max_by("last_close", "pos").alias("last_close"))
     return ledger.round_trips(daily, B.calendar(events_bars(s, d)), last)
 
 
-@query()
+@query(f"{_TRIPS} select run_id, symbol, direction, status, entry_time, exit_time, quantity, round(entry_price,6) as entry_price, round(exit_price,6) as exit_price, round(pnl,5) as pnl, round(commission,6) as commission, round(net_pnl,5) as net_pnl, round(ret,6) as return, bars_held from trips")
+def round_trips(s, d):
+    t = demo_trips(s, d)
+    rounded = {"entry_price": 6, "exit_price": 6, "pnl": 5, "commission": 6, "net_pnl": 5, "return": 6}
+    return t.select("run_id", "symbol", "direction", "status", "entry_time", "exit_time", "quantity", *[F.round(c, n).alias(c) for c, n in rounded.items()], "bars_held")
+
+
+@query(f"{_TRIPS}, cl as (select * from trips where status='closed') select run_id, count(*) as n_trades, round(avg((net_pnl>0)::int),6) as hit_rate, round(sum(net_pnl) filter (net_pnl>0)/-sum(net_pnl) filter (net_pnl<0),6) as profit_factor, round(avg(net_pnl) filter (net_pnl>0),6) as avg_win, round(avg(net_pnl) filter (net_pnl<0),6) as avg_loss, round(avg(net_pnl),6) as avg_trade, round(avg(bars_held),6) as avg_bars from cl group by 1")
 def trade_stats(s, d):
-    return metrics.trade_stats(round_trips(s, d))
+    return metrics.trade_stats(demo_trips(s, d)).select("run_id", "n_trades", *[r6(c).alias(c) for c in ("hit_rate", "profit_factor", "avg_win", "avg_loss", "avg_trade", "avg_bars")])
+
+
+@query(f"{_CURVE}, tp as (select run_id, max(pos) as top from run group by 1), sp as (select run_id, pos, equity, floor(pos*6/(top+1)) as span from run join tp using (run_id)), sd as (select *, row_number() over (partition by run_id, span order by pos) as a, row_number() over (partition by run_id, span order by pos desc) as b, row_number() over (partition by run_id, span order by equity, pos) as c, row_number() over (partition by run_id, span order by equity desc, pos desc) as e from sp) select run_id, pos, round(equity,6) as equity from sd where 1 in (a,b,c,e)")
+def chart_points(s, d):
+    return metrics.decimated(curves(s, d), "equity", 6).select("run_id", "pos", r6("equity").alias("equity"))
 
 
 # -- research
@@ -609,10 +629,19 @@ def cpcv_paths(s, d):
     return crossval.path_splits(s, 6, 2)
 
 
-@query()
+@query(f"{_PERF}, ob as (select range as obs, case when range<25 then range//5 else 5+(range-25)//4 end as g from range(0,29)), pr as (select a.range as g1, b.range as g2, row_number() over (order by a.range, b.range)-1 as split from range(0,6) a, range(0,6) b where a.range<b.range), ts_ as (select split, obs from pr join ob on g=g1 or g=g2), tr as (select split, obs from pr cross join ob where not exists (select 1 from ts_ where ts_.split=pr.split and ob.obs between ts_.obs-1 and ts_.obs+1)), sc as (select split, cfg_idx, avg(ret)/stddev_samp(ret) as score from tr join perf on perf.t-1=tr.obs group by 1,2), pk as (select *, row_number() over (partition by split order by score desc, cfg_idx) as k from sc) select split::int as split, cfg_idx, round(score,6) as score from pk where k=1")
 def cpcv_select(s, d):
     p = perf(s, d).withColumn("t", F.col("t") - 1)
-    return crossval.cpcv(p, 29, 6, 2, lookback=1)[0]
+    return crossval.cpcv(p, 29, 6, 2, lookback=1)[0].select("split", "cfg_idx", r6("score").alias("score"))
+
+
+@query(f"""{_RETURNS}, z as (select run_id, count(*) as n, greatest(5,ceil(sqrt(log10(count(*))))) as k, ceil(least(3*sqrt(count(*)),count(*)/3.0)) as most, 2*sqrt(log10(count(*))/count(*)) as noise from ret group by 1), zz as (select *, ceil(sqrt(n))+k as top from z),
+ee as (select run_id, row_number() over (partition by run_id order by pos) as i, r-avg(r) over (partition by run_id) as e from ret), ac as (select zz.run_id, l.range as lag, coalesce(sum(a.e*b.e),0)/any_value(n) as acov from zz join range(0,200) l on l.range<=top join ee a on a.run_id=zz.run_id left join ee b on b.run_id=a.run_id and b.i=a.i+l.range group by 1,2),
+qt as (select ac.run_id, lag, abs(acov) < noise*max(acov) filter (lag=0) over (partition by ac.run_id) as quiet, k, top from ac join zz using (run_id)), st as (select a.run_id, min(a.lag) as m from qt a where a.lag>=1 and a.lag+a.k-1<=a.top and (select bool_and(quiet) from qt b where b.run_id=a.run_id and b.lag between a.lag and a.lag+a.k-1) group by 1),
+wd as (select zz.run_id, n, most, least(coalesce(2*m,top),top) as width from zz left join st using (run_id)), sm as (select run_id, any_value(n) as n, any_value(most) as most, any_value(width) as width, sum(greatest(0,least(1,2*(1-lag/width)))*case when lag=0 then 1 else 2 end*acov) as g0, sum(greatest(0,least(1,2*(1-lag/width)))*2*lag*acov) as g1 from ac join wd using (run_id) group by 1)
+select run_id, round(least(greatest(cbrt(2*g1*g1*n/(2*g0*g0)),1),most),5) as stationary, round(least(greatest(cbrt(2*g1*g1*n/(4/3.0*g0*g0)),1),most),5) as circular, width::bigint as bandwidth from sm""")
+def block_lengths(s, d):
+    return resampling.block_lengths(metrics.returns(curves(s, d))).select("run_id", F.round("stationary", 5).alias("stationary"), F.round("circular", 5).alias("circular"), "bandwidth")
 
 
 @query()
@@ -657,8 +686,12 @@ def _allocated(method: str):
     return run
 
 
+_ALLOCATED = {
+    "ew": f"{E_PANEL} select pos, symbol, round(1.0/count(*) over (partition by pos),6) as w from p where pos>=20",
+    "iv": f"{E_PANEL}, mv as (select pos, symbol, last_close/lag(last_close) over (partition by symbol order by pos)-1 as r from p), v as (select pos, symbol, 1/stddev_samp(r) over (partition by symbol order by pos rows between 19 preceding and current row) as i from mv) select pos, symbol, round(i/sum(i) over (partition by pos),6) as w from v where pos>=20",
+}
 for _m in allocation.ALLOCATORS:
-    query()(_allocated(_m))
+    query(_ALLOCATED.get(_m))(_allocated(_m))
 
 
 # -- order-level runs
@@ -687,12 +720,18 @@ def bracket_engine_run(s, d):
 
 @query()
 def bracket_consistency(s, d):
+    """Must have no faults; that is a property of the kernel, not of the tables, so there is no SQL for it."""
     runs = s.createDataFrame([(0, "worst"), (1, "best")], "run_id long, path string")
     out = simulate.simulate(events_bars(s, d, "hour"), runs, lambda row: orderbook.BreakoutRule(10), lambda row: orderbook.Rules(intrabar=row["path"], lot=None))
     return simulate.inconsistent(simulate.orders(out)).agg(F.count("*").alias("n_faults"))
 
 
-SQL["bracket_consistency"] = "select 0::bigint as n_faults"
+@query(f"""{E_HOUR}, {_PANEL}, q as (select pos, symbol, close*0.985 as buy, close*0.98 as sell from p where has_bar), n as (select q.pos+1 as pos, q.symbol, buy, sell, open, low from q join p on p.pos=q.pos+1 and p.symbol=q.symbol where p.has_bar)
+select pos, symbol, 1 as side, round(case when open<=buy then open else buy end,6) as price from n where low<=buy union all select pos, symbol, -1, round(case when open<=sell then open else sell end,6) from n where low<=sell""")
+def day_orders_run(s, d):
+    """Day orders through the order kernel, which its fill rules in SQL must agree with."""
+    out = simulate.simulate(events_bars(s, d, "hour"), s.range(1).withColumnRenamed("id", "run_id"), lambda row: orderbook.QuoteRule())
+    return simulate.fills(out).select("pos", "symbol", F.signum("quantity").cast("int").alias("side"), r6("price").alias("price"))
 
 
 @query()

@@ -22,7 +22,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["bars_events_daily", "panel_locf", "asof_bar_lookup", "bars_invalid_rules", "schedule_change", "tsmom_weights", "xsmom_weights", "bollinger_state", "metrics_all", "position_avg_cost", "pbo_logits", "purged_kfold", "vector_equity", "event_engine_run", "rebalance_orders"])
+@pytest.mark.parametrize("name", ["bars_events_daily", "panel_locf", "asof_bar_lookup", "bars_invalid_rules", "schedule_change", "tsmom_weights", "xsmom_weights", "bollinger_state", "metrics_all", "position_avg_cost", "pbo_logits", "purged_kfold", "vector_equity", "event_engine_run", "rebalance_orders", "round_trips", "trade_stats", "chart_points", "cpcv_select", "block_lengths", "allocation_ew", "allocation_iv", "day_orders_run"])
 def test_against_sql(spark, duck, name):
     got, want = QUERIES[name](spark, FOLDER).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
