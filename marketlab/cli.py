@@ -11,8 +11,7 @@ from pyspark.sql import SparkSession
 
 from . import report
 from .errors import MarketError, SettingError
-from .functions import inference
-from .inference import crossval, overfitting
+from .inference import validation
 from .operators import metrics, signals
 from .plans import research, vector
 from .sources import bars as B
@@ -79,6 +78,7 @@ def parser() -> argparse.ArgumentParser:
     data(check), trade(check)
     check.add_argument("--grid", action="append")
     check.add_argument("--splits", type=int, default=16)
+    check.add_argument("--samples", type=int, default=1000)
     make = kinds.add_parser("generate", help="synthetic bars as CSV")
     data(make)
     make.add_argument("--out", required=True)
@@ -122,12 +122,12 @@ def command(args) -> int:
     runs = research.expand(configs)
     curves = research.run_grid(B.panel(bars), args.strategy, runs, _settings(args), rebalance=args.rebalance)
     print(report.table([(r.rank, r.label, report.number(r.sharpe), report.percent(r.cagr), report.percent(r.max_drawdown)) for r in research.ranked(curves, runs).orderBy("rank").collect()], ("rank", "configuration", "Sharpe", "CAGR", "drawdown")))
-    perf = research.performance(curves)
-    best = inference.probabilities(inference.moments(metrics.returns(curves))).orderBy("dsr", ascending=False).first()
+    perf = research.performance(curves).persist()
     if len(runs) > 1:
-        got = overfitting.pbo(perf, args.splits).first()
-        print(f"\nProbability of overfitting {report.percent(got.pbo)}, of a loss {report.percent(got.prob_loss)}; paths of {crossval.n_paths(6, 2)}")
-    print(f"Deflated probability of skill {report.percent(best.dsr)}")
+        print(f"\n{validation.validate_family(perf, args.splits, research.history(args.strategy, runs), n_samples=args.samples).format()}")
+    one = metrics.returns(curves).filter("run_id = 0") if len(runs) == 1 else None
+    if one is not None:
+        print(f"\n{validation.validate_returns(one, n_samples=args.samples).format()}")
     return 0
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .allocation import allocated
+
 YEAR = 252.0
 
 
@@ -147,6 +149,7 @@ STRATEGIES = {
     "xsmom": (cross_sectional_momentum, "monthly", lambda p: p.get("lookback", 126) + 1),
     "bollinger": (bollinger_reversion, "change", lambda p: p.get("window", 20)),
     "inverse_volatility": (inverse_volatility, "monthly", lambda p: p.get("lookback", 252) + 1),
+    "allocation": (allocated, "monthly", lambda p: p.get("lookback", 252) + 1),
     "equal_weight": (equal_weight, "monthly", lambda p: p.get("lookback", 1)),
 }
 

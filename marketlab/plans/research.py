@@ -130,7 +130,7 @@ def walk_forward(bars: DataFrame, name: str, grid: dict[str, list], train: int,
 def stitched_equity(returns: DataFrame, cash: float) -> DataFrame:
     """Test returns compounded to one curve, in the order of positions."""
     back = W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)  # one row a bar: the calendar
-    return returns.select("pos", "ts", (cash * F.exp(F.sum(F.log(1 + F.col("r"))).over(back))).alias("equity"))
+    return returns.select("pos", "ts", (cash * F.product(1 + F.col("r")).over(back)).alias("equity"))
 
 
 def efficiency(table: DataFrame, returns: DataFrame, periods: float = metrics.YEAR) -> DataFrame:

@@ -63,7 +63,7 @@ def equity(panel: DataFrame, weights: DataFrame, settings: VectorSettings = Vect
     times = panel.filter(F.col("pos") >= start).groupBy("pos", "ts").agg(pick("close").alias("close"), fills.alias("fill"))
     after = times.select((F.col("pos") - 1).alias("pos"), F.col("fill").alias("next_fill"))
     wide = weights.filter(F.col("pos") >= start).groupBy("run_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("sym_idx", "w"))), lambda r: r["w"]).alias("w"))
-    decided = wide.join(F.broadcast(times.select("pos", "close").join(after, "pos")), "pos").select("run_id", F.struct("pos", "w", "close", F.col("next_fill").alias("fill")).alias("d"))
+    decided = wide.join(times.select("pos", "close").join(after, "pos"), "pos").select("run_id", F.struct("pos", "w", "close", F.col("next_fill").alias("fill")).alias("d"))
     runs = decided.groupBy("run_id").agg(F.array_sort(F.collect_list("d")).alias("decisions"))
     fold = _FOLD.format(cash=float(settings.cash), slip=settings.slippage_bps / 1e4, fee=settings.commission_bps / 1e4, history=_HISTORY)
     states = runs.select("run_id", F.expr(f"inline({fold})"))

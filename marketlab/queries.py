@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import inference, trading
-from .inference import crossval, overfitting, resampling
+from .inference import crossval, overfitting, resampling, validation
 from .operators import allocation, ledger, metrics, orderbook, signals
 from .plans import research, simulate, vector
 from .sources import bars as B
@@ -559,7 +559,8 @@ _PERF = f"{_RETURNS}, perf as (select (dense_rank() over (order by run_id)-1)::b
 def perf(s: SparkSession, d: str) -> DataFrame:
     """Each symbol as a configuration."""
     own = metrics.returns(curves(s, d))
-    return own.select((F.dense_rank().over(W.orderBy("run_id")) - 1).cast("long").alias("cfg_idx"), F.col("pos").alias("t"), F.col("r").alias("ret"))
+    names = own.select("run_id").distinct().withColumn("cfg_idx", (F.row_number().over(W.orderBy("run_id")) - 1).cast("long"))  # one row a configuration
+    return own.join(names, "run_id").select("cfg_idx", F.col("pos").alias("t"), F.col("r").alias("ret"))
 
 
 _MOMENTS = f"{_RETURNS}, c as (select run_id, r, r-avg(r) over (partition by run_id) as e from ret), mo as (select run_id, count(*) as n, avg(r)/stddev_samp(r) as sr, avg(e^3)/avg(e^2)^1.5 as skew, avg(e^4)/avg(e^2)^2 as kurt from c group by 1)"
@@ -650,6 +651,18 @@ def bootstrap_ci(s, d):
     return resampling.intervals(s, series, n_samples=500, block=3.0)
 
 
+@query()
+def family_validation(s, d):
+    got = validation.validate_family(perf(s, d), 8, lookback=1, n_samples=300)
+    return s.createDataFrame([(got.best, got.sharpe, got.dsr, got.splits, got.pbo, len(got.path_sharpes), got.format())], "best long, sharpe double, dsr double, splits int, pbo double, n_paths int, report string")
+
+
+@query()
+def strategy_validation(s, d):
+    got = validation.validate_returns(metrics.returns(sma_equity(s, d)).select("run_id", "pos", "r"), trials=6, trial_variance=0.01, n_samples=300)
+    return s.createDataFrame([(got.n, got.sharpe, got.psr, got.dsr, got.track_record, got.format())], "n long, sharpe double, psr double, dsr double, track_record double, report string")
+
+
 @query()
 def spa_test(s, d):
     wide = perf(s, d).groupBy("t").pivot("cfg_idx", [0, 1, 2, 3, 4]).agg(F.first("ret")).orderBy("t").toPandas().drop(columns="t")  # the calendar
