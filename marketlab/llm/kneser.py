@@ -14,13 +14,14 @@ their sorted hashes by binary search, so that a model may exceed a worker's
 memory. The shared folder must be mounted on all machines: nothing is copied to
 local ones.
 
-The order is two, because a trigram model's arrays and shuffle came to 4.2
-times the input on disk (about 1.2 GB shuffled and 0.8 GB stored for 0.5 GB).
+The order is two: with an earlier packing, a trigram model shuffled about 1.2 GB
+and stored 0.8 GB for 0.5 GB of input, four times it.
 
 Nulls: a null text is an empty one, which has only the end token; a row
 without ``doc_id`` is trained on. Repeated rows count each. With an empty
 training set every token has probability 1 / (V + 1) = 1. An empty table gives
-no rows. Other columns are ignored.
+no rows. A very long text is scored whole; ties don't occur. Other columns are
+ignored.
 """
 
 from __future__ import annotations
