@@ -300,6 +300,24 @@ def test_search_of_an_index():
         assert dict(zip(found.tolist(), overlap.tolist(), strict=True)) == {i: n for i, n in want.items() if n >= least}
 
 
+def test_sketches_lose_no_link_and_leave_out_far_copies():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 20, 65, 500, 3000):
+        base, sets = rng.integers(0, 1 << 63, n).astype(np.uint64), []
+        for i in range(60):
+            kept = base[rng.random(n) > (0.02 if i % 2 else 0.3)]
+            sets.append(jaccard.set_of(np.concatenate((kept, rng.integers(0, 1 << 63, n - len(kept)).astype(np.uint64)))))
+        size, tried, linked = np.array([len(s) for s in sets]), 0, 0
+        for s in sets:
+            bits = jaccard.sketch_bits(len(s))
+            found = jaccard.near_class(size, bits) & jaccard.within(jaccard.sketches([s], bits)[0], len(s), jaccard.sketches(sets, bits), size)
+            common = np.array([len(np.intersect1d(s, x)) for x in sets])
+            link = 100 * common >= 80 * (len(s) + size - common)
+            assert not (link & ~found).any()
+            tried, linked = tried + found.sum(), linked + link.sum()
+        assert n < 500 or tried <= linked + 60
+
+
 def test_first_of_each(spark, docs):
     got = jaccard.first_of_each(docs)
     assert got.columns == docs.columns
