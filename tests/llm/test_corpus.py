@@ -141,6 +141,22 @@ def test_passages_of_near_copies_without_a_common_first(spark):
     assert len(linked) == len(rows) and len(linked - found) <= 0.03 * len(linked)
 
 
+def test_hubs_are_of_a_place(spark):
+    names = "a long, b long, a0 long, a1 long, b0 long, b1 long"
+    agreed = [(1, 10, 0, 60, 5, 65), (1, 20, 200, 260, 0, 60), (1, 30, 400, 460, 100, 160), *((k, 10, 0, 60, 5, 65) for k in range(2, 6))]
+    areas, runs = (spark.createDataFrame(x, names) for x in (agreed + [(1, 30, 200, 260, 0, 60), (1, 40, 0, 60, 7, 67)], agreed))
+    got = {tuple(r) for r in passages.through_hubs(areas, runs).collect()}
+    # the text 30 agrees elsewhere; 10 is the hub of most, but not of that place
+    assert got == {(20, 30, 0, 60, 0, 60), (10, 40, 5, 65, 7, 67)}
+
+
+def test_each_document_of_a_passage_has_rows(spark):
+    passage, rng = " ".join(f"p{i}" for i in range(60)), random.Random(4)
+    rows = [(k, f"{' '.join(f'o{rng.random()}' for _ in range(30))} {passage}") for k in range(9)] + [(9, passage), (10, passage)]
+    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(11))
+
+
 def test_passages_around_a_frequent_line(spark):
     line, rng, rows = [f"l{i}" for i in range(45)], random.Random(8), []
     other = lambda n: [f"o{rng.random()}" for _ in range(n)]
