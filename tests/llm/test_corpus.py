@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from marketlab.llm import containment, jaccard, kneser, outliers, packing, passages, resampling, secretscan, surrogates, template
+from marketlab.llm import containment, jaccard, kneser, outliers, packing, passages, queries, resampling, secretscan, surrogates, template
 from marketlab.llm.common import WordHasher, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,6 +157,54 @@ def test_each_document_of_a_passage_has_rows(spark):
     assert {r.doc_id for r in got} == set(range(11))
 
 
+def test_classes_hold_every_pair(docs, empty):
+    assert passages.classes(empty).count() == 0
+    texts = collections.defaultdict(list)
+    for d, t in docs.select("doc_id", "text").collect():
+        texts[d].append(words(t))
+    rows, at = passages.classes(docs).collect(), collections.defaultdict(list)
+    for r in rows:
+        at[r.doc_id].append(r)
+        own, other = (texts[d][0][x:y] for d, x, y in ((r.doc_id, r.own_start, r.own_end), (r.other_doc_id, r.other_start, r.other_end)))
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (own, other)]
+        assert r.start <= r.own_start < r.own_end <= r.end <= len(texts[r.doc_id][0]) and r.n_links > 0
+        assert len(sets[0] & sets[1]) == pytest.approx(r.similarity * len(sets[0] | sets[1])) and r.similarity >= 0.8
+    of = lambda d, start, end: {r.class_id for r in at[d] if r.start <= start and end <= r.end}
+    pairs = passages.find(docs).collect()
+    assert pairs and all(of(p.doc_id, p.start, p.end) & of(p.other_doc_id, p.other_start, p.other_end) for p in pairs)
+    # a repeated row is a copy, which pairs of documents don't show
+    twice = {d for d, t in texts.items() if len(t) > 1 and len(t[0]) >= 50}
+    assert set(at) == {p.doc_id for p in pairs} | twice
+
+
+def test_rows_of_a_family_follow_its_documents(spark, tmp_path):
+    rng, counts = random.Random(2), []
+    text = [f"w{i}" for i in range(400)]
+    for n in (20, 120):
+        rows = [(k, " ".join(f"c{k}x{i}" if rng.random() < 0.02 else w for i, w in enumerate(text))) for k in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got = queries.op2_substring_dedup(spark, f"{tmp_path}/{n}").collect()
+        assert {r.doc_id for r in got} == set(range(n))
+        counts.append(len(got))
+    assert math.log(counts[1] / counts[0]) / math.log(6) <= 1.15
+
+
+def test_a_short_passage_of_copied_texts_has_its_own_class(spark):
+    rng = random.Random(3)
+    other = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    passage, before, after, rows = other(60), other(400), other(400), []
+    for k in range(4):
+        start = list(before)
+        start[rng.randrange(400)] = "changed"
+        rows.append((k, " ".join(start + passage + after)))
+    rows += [(k, " ".join(other(40) + passage + other(40))) for k in range(4, 12)]
+    got = passages.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    short, long = ({(r.doc_id, r.class_id) for r in got if (r.end - r.start > 400) == x} for x in (False, True))
+    assert {d for d, _ in long} == set(range(4)) and len({c for _, c in long}) == 1
+    assert set(range(4, 12)) <= {d for d, _ in short} and {c for _, c in short}.isdisjoint(c for _, c in long)
+    assert len({c for d, c in short if d >= 4}) == 1
+
+
 def test_passages_around_a_frequent_line(spark):
     line, rng, rows = [f"l{i}" for i in range(45)], random.Random(8), []
     other = lambda n: [f"o{rng.random()}" for _ in range(n)]
